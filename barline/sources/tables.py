@@ -12,7 +12,9 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        # One time type everywhere: instants, shown in UTC. A cast would hide ts from the scan's filters.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
