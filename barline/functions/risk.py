@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 from barline.functions.signals import clip
 
 
-def sentiment_kelly(p: Column, b: Column, s: Column, fraction: float = 0.5) -> Column:
+def sentiment_kelly(p: Column, b: Column, s: Column, fraction: float = 0.25) -> Column:
     """RSK-01: Kelly share after a bounded shift of the win probability by sentiment."""
     shift = 0.3 / (1 + F.exp(-5 * clip(s, -1, 1))) - 0.15
     chance = clip(p + shift, 0.1, 0.9)

@@ -50,8 +50,8 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(stats, keys) if keys else df.crossJoin(F.broadcast(stats))
 
 
-def iqr_fences(df: DataFrame, x: str, keys: list[str], k: float = 1.5) -> DataFrame:
-    q = exact_quantiles(df, keys, x, [0.25, 0.5, 0.75])
+def iqr_fences(df: DataFrame, x: str, keys: list[str], k: float = 1.5, bounded: bool = False) -> DataFrame:
+    q = exact_quantiles(df, keys, x, [0.25, 0.5, 0.75], bounded=bounded)
     low, high = F.col("q")[0], F.col("q")[2]
     return q.select(
         *keys,
@@ -61,9 +61,9 @@ def iqr_fences(df: DataFrame, x: str, keys: list[str], k: float = 1.5) -> DataFr
     )
 
 
-def flag_iqr(df: DataFrame, x: str, keys: list[str], k: float = 1.5) -> DataFrame:
+def flag_iqr(df: DataFrame, x: str, keys: list[str], k: float = 1.5, bounded: bool = False) -> DataFrame:
     """DQ-02: ``outlier`` beyond k interquartile ranges."""
-    d = attach(df, iqr_fences(df, x, keys, k), keys)
+    d = attach(df, iqr_fences(df, x, keys, k, bounded), keys)
     return d.withColumn("outlier", (F.col(x) < F.col("low_fence")) | (F.col(x) > F.col("high_fence")))
 
 
@@ -74,19 +74,21 @@ def flag_zscore(df: DataFrame, x: str, keys: list[str], threshold: float = 3.0)
     return attach(df, stats, keys).withColumn("outlier", F.coalesce(z > threshold, F.lit(False))).drop("_m", "_sd")
 
 
-def flag_modified_z(df: DataFrame, x: str, keys: list[str], threshold: float = 3.5) -> DataFrame:
+def flag_modified_z(df: DataFrame, x: str, keys: list[str], threshold: float = 3.5, bounded: bool = False) -> DataFrame:
     """DQ-04: by the median absolute deviation; never when it is 0."""
-    mid = exact_quantiles(df, keys, x, [0.5]).select(*keys, F.col("q")[0].alias("_med"))
+    mid = exact_quantiles(df, keys, x, [0.5], bounded=bounded).select(*keys, F.col("q")[0].alias("_med"))
     d = attach(df, mid, keys).withColumn("_dev", F.abs(F.col(x) - F.col("_med")))
-    mad = exact_quantiles(d, keys, "_dev", [0.5]).select(*keys, F.col("q")[0].alias("_mad"))
+    mad = exact_quantiles(d, keys, "_dev", [0.5], bounded=bounded).select(*keys, F.col("q")[0].alias("_mad"))
     score = F.try_divide(0.6745 * (F.col(x) - F.col("_med")), F.col("_mad"))
     out = attach(d, mad, keys).withColumn("outlier", F.coalesce(F.abs(score) > threshold, F.lit(False)))
     return out.drop("_med", "_dev", "_mad")
 
 
-def treat_outliers(df: DataFrame, x: str, keys: list[str], how: str = "clip", k: float = 1.5) -> DataFrame:
+def treat_outliers(
+    df: DataFrame, x: str, keys: list[str], how: str = "clip", k: float = 1.5, bounded: bool = False
+) -> DataFrame:
     """DQ-05: clip to the fences, or replace by null or the median."""
-    d = attach(df, iqr_fences(df, x, keys, k), keys)
+    d = attach(df, iqr_fences(df, x, keys, k, bounded), keys)
     outside = (F.col(x) < F.col("low_fence")) | (F.col(x) > F.col("high_fence"))
     value = {
         "clip": F.least(F.greatest(F.col(x), F.col("low_fence")), F.col("high_fence")),
@@ -96,7 +98,7 @@ def treat_outliers(df: DataFrame, x: str, keys: list[str], how: str = "clip", k:
     return d.withColumn(x, F.when(F.col(x).isNotNull(), value)).drop("low_fence", "high_fence", "median")
 
 
-def impute(df: DataFrame, x: str, how: str, keys: list[str], series: Series = BARS) -> DataFrame:
+def impute(df: DataFrame, x: str, how: str, keys: list[str], series: Series = BARS, bounded: bool = False) -> DataFrame:
     """DQ-06: ffill, bfill, mean, median, zero or drop."""
     if how == "drop":
         return df.dropna(subset=[x])
@@ -108,7 +110,7 @@ def impute(df: DataFrame, x: str, how: str, keys: list[str], series: Series = BA
     if how == "mean":
         stats = df.groupBy(*keys).agg(F.avg(x).alias("_s"))
     else:
-        stats = exact_quantiles(df, keys, x, [0.5]).select(*keys, F.col("q")[0].alias("_s"))
+        stats = exact_quantiles(df, keys, x, [0.5], bounded=bounded).select(*keys, F.col("q")[0].alias("_s"))
     return attach(df, stats, keys).withColumn(x, F.coalesce(x, "_s")).drop("_s")
 
 
@@ -186,14 +188,22 @@ def quality_score(
     return out.withColumn("score", total).withColumn("passed", F.col("score") >= 0.7)
 
 
-def clean(df: DataFrame, columns: list[str], keys: list[str], series: Series = BARS) -> DataFrame:
-    """DQ-11: clip outliers, then fill forward and backward."""
+def clean(df: DataFrame, columns: list[str], keys: list[str], series: Series = BARS, bounded: bool = True) -> DataFrame:
+    """DQ-11: clip outliers of all columns by one join of fences, then fill forward and backward."""
+    fences = None
     for c in columns:
-        df = treat_outliers(df, c, keys)
-    for how in ("ffill", "bfill"):
-        for c in columns:
-            df = impute(df, c, how, keys, series)
-    return df
+        f = iqr_fences(df, c, keys, bounded=bounded).select(
+            *keys, F.col("low_fence").alias(f"_lo_{c}"), F.col("high_fence").alias(f"_hi_{c}")
+        )
+        fences = f if fences is None else attach(fences, f, keys)
+    d = attach(df, fences, keys)
+    clipped = {
+        c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"_lo_{c}")), F.col(f"_hi_{c}")))
+        for c in columns
+    }
+    d = d.withColumns(clipped).drop(*[f"_{p}_{c}" for p in ("lo", "hi") for c in columns])
+    d = d.withColumns({c: fill_forward(c, series) for c in columns})
+    return d.withColumns({c: fill_backward(c, series) for c in columns})
 
 
 def source_report(bars: DataFrame, columns: list[str], gap_minutes: Column, series_keys: list[str], synthetic: bool = False) -> DataFrame:

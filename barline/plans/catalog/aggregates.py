@@ -111,7 +111,7 @@ def _(t: Tables) -> DataFrame:
     from barline.operators.quantiles import exact_quantiles
 
     rets = t.hourly().withColumn("ret", w.change("close"))
-    var = exact_quantiles(rets, ["symbol"], "ret", [0.05]).select("symbol", F.col("q")[0].alias("var"))
+    var = exact_quantiles(rets, ["symbol"], "ret", [0.05], bounded=True).select("symbol", F.col("q")[0].alias("var"))
     return rets.join(var, "symbol").groupBy("symbol").agg(
         F.first("var").alias("var"),
         F.avg(F.when(F.col("ret") <= F.col("var"), F.col("ret"))).alias("cvar"),

@@ -79,7 +79,7 @@ def _(t: Tables) -> DataFrame:
 @query("join09_barrier_join", f"WITH {ledger_sql(0.3, 0.6)} SELECT symbol, ts, epoch(exit_ts)::BIGINT AS exit_s, exit_reason, exit_price FROM ledger",
        "symbol, ts, exit_s, exit_reason", "exit_price")
 def _(t: Tables) -> DataFrame:
-    bars = t.hourly()
+    bars = t.hourly_stored()
     return tr.first_exit(bars, lg.move_entries(bars, stop=0.3, target=0.6)).withColumn("exit_s", F.unix_seconds("exit_ts"))
 
 

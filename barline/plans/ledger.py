@@ -16,15 +16,20 @@ def move_entries(bars: DataFrame, threshold: float = 0.02, **kwargs) -> DataFram
 
 
 def ledger(t: Tables, stop: float = 0.02, target: float = 0.05, quantity: float = 1.0) -> DataFrame:
-    bars = t.hourly()
-    return trades.settle(trades.first_exit(bars, move_entries(bars, stop=stop, target=target, quantity=quantity)))
+    return from_bars(t.hourly_stored(), stop, target, quantity)
+
+
+def from_bars(bars: DataFrame, stop: float, target: float, quantity: float = 1.0) -> DataFrame:
+    entries = move_entries(bars, stop=stop, target=target, quantity=quantity)
+    return trades.settle(trades.first_exit(bars, entries))
 
 
 def equity(t: Tables, stop: float = 0.5, target: float = 2.0, quantity: float = 0.01) -> DataFrame:
     """Equity curve with the previous value and the running peak (bounded by the bars of a symbol)."""
     from barline.operators.ordered import BARS as S
 
-    curve = trades.equity_curve(t.hourly(), ledger(t, stop, target, quantity))
+    bars = t.hourly_stored()
+    curve = trades.equity_curve(bars, from_bars(bars, stop, target, quantity))
     return curve.withColumns(
         {"prev_equity": F.lag("equity").over(S.spec()), "peak": F.max("equity").over(S.upto())}
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barline.operators.resample import bars_from_ticks
+from barline.session import durable
 
 
 class Tables:
@@ -31,6 +32,10 @@ class Tables:
         """Hourly bars of the event types; volume is the number of ticks."""
         return bars_from_ticks(self.ticks(), "1h")
 
+    def hourly_stored(self) -> DataFrame:
+        """Hourly bars written once, for queries that branch: the ticks are scanned a single time."""
+        return durable(self.hourly(), "hourly")
+
     def daily(self) -> DataFrame:
         """Daily bars of the event types."""
         return bars_from_ticks(self.ticks(), "1d")
