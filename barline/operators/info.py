@@ -107,15 +107,21 @@ def transfer_entropy(
 # Each function maps the name of an array<double> column to SQL text over it.
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """Bind a value for the lambdas in ``body``, so it is computed once per row and not per element."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _edges(r: str, n: int = STATES) -> str:
-    sorted_ = f"array_sort({r})"
-    size = f"size({r})"
+    """Inner distinct quantile edges of an array."""
     points = []
     for i in range(n + 1):
-        rank = f"(({size} - 1) * {i / n}D)"
-        lo, hi = f"try_element_at({sorted_}, greatest(int(floor({rank})) + 1, 1))", f"try_element_at({sorted_}, greatest(int(ceil({rank})) + 1, 1))"
+        rank = f"((size(o) - 1) * {i / n}D)"
+        lo = f"try_element_at(o, greatest(int(floor({rank})) + 1, 1))"
+        hi = f"try_element_at(o, greatest(int(ceil({rank})) + 1, 1))"
         points.append(f"{lo} + ({hi} - {lo}) * ({rank} - floor({rank}))")
-    return f"array_distinct(array({', '.join(points)}))"
+    distinct = _let("o", f"array_sort({r})", f"array_distinct(array({', '.join(points)}))")
+    return _let("d", distinct, "slice(d, 2, greatest(size(d) - 2, 0))")
 
 
 def _add(df: DataFrame, **cols: str) -> DataFrame:
@@ -125,9 +131,8 @@ def _add(df: DataFrame, **cols: str) -> DataFrame:
 
 
 def _states(df: DataFrame, r: str, tag: str, n: int = STATES) -> DataFrame:
-    df = _add(df, **{f"_e{tag}": _edges(r, n)})
-    df = _add(df, **{f"_e{tag}": f"slice(_e{tag}, 2, greatest(size(_e{tag}) - 2, 0))"})
-    return _add(df, **{f"_s{tag}": f"transform({r}, x -> size(filter(_e{tag}, e -> e <= x)))"}).drop(f"_e{tag}")
+    below = f"transform({r}, x -> size(filter(e, b -> b <= x)))"
+    return _add(df, **{f"_s{tag}": _let("e", _edges(r, n), below)})
 
 
 def _cell_entropy(codes: str, k: int) -> str:
@@ -275,15 +280,14 @@ def sample_entropy(df: DataFrame, r: str, out: str, m: int = 2, share: float = 0
 
 def autocorrelation_complexity(df: DataFrame, r: str, out: str) -> DataFrame:
     """INF-11: mean and spread of absolute autocorrelations at lags below min(20, n/3)."""
-    df = _add(df, _m=_mean(r))
-    df = _add(df, _c=f"transform({r}, x -> x - _m)")
+    df = _add(df, _c=_let("m", _mean(r), f"transform({r}, x -> x - m)"))
     df = _add(df, _var="aggregate(_c, 0D, (s, v) -> s + v * v) / nullif(size(_c), 0)")
     dot = "aggregate(zip_with(slice(_c, 1, size(_c) - k), slice(_c, k + 1, size(_c) - k), (x, y) -> x * y), 0D, (s, v) -> s + v)"
     df = _add(df, _ac=f"if(size(_c) < 20 OR _var < 1e-10D, array(), transform(sequence(1, greatest(1, least(20, int(size(_c) / 3)) - 1)), k -> abs({dot} / ((size(_c) - k) * _var))))")
     df = _add(df, _am=_mean("_ac"))
     df = _add(df, _asd="sqrt(aggregate(_ac, 0D, (s, v) -> s + (v - _am) * (v - _am)) / nullif(size(_ac), 0))")
     value = "CASE WHEN size(_c) < 20 THEN 0.5D WHEN _var < 1e-10D THEN 0D WHEN size(_ac) < 2 THEN 0.5D ELSE greatest(0D, least(1D, (_am + _asd) / 2 * 3)) END"
-    return _add(df, **{out: value}).drop("_m", "_c", "_var", "_ac", "_am", "_asd")
+    return _add(df, **{out: value}).drop("_c", "_var", "_ac", "_am", "_asd")
 
 
 def rolling_phi(bars: DataFrame, price: str = "close", n: int = LOOKBACK, series: Series = BARS) -> DataFrame:
@@ -291,11 +295,11 @@ def rolling_phi(bars: DataFrame, price: str = "close", n: int = LOOKBACK, series
 
     One array of n values per row; use ``ordered.rolling`` with halo n on long series.
     """
-    before = F.collect_list(price).over(series.previous(n))
-    d = bars.withColumn("_w", before)
-    d = _add(d, _r=changes("_w"))
-    d = phi_columns(d, "_r").withColumn("phi", F.when(F.size("_w") < n, 0.5).otherwise(F.col("phi")))
-    return d.drop("_w", "_r", "phi_iit", "phi_entropy", "phi_complexity", "raw_entropy")
+    from barline.functions.phi import phi_of_prices
+
+    d = bars.withColumn("_w", F.collect_list(price).over(series.previous(n)))
+    phi = F.when(F.size("_w") >= n, phi_of_prices("_w")).otherwise(0.5)
+    return d.withColumn("phi", phi).drop("_w")
 
 
 def phi_filter(df: DataFrame, signal: str, threshold: float = 0.5, stable_rows: int = 5, series: Series = BARS) -> DataFrame:
