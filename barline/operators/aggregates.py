@@ -194,13 +194,14 @@ def threshold_counts(scored: DataFrame, thresholds: list[float]) -> DataFrame:
         )
 
     total = F.col("trades") + F.col("rest")
-    mean = F.try_divide(F.col("total_return"), F.col("trades"))
-    sd = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("_ss"), F.col("trades")) - mean * mean))
+    # Rows without a trade return 0, so mean and deviation go over all rows.
+    mean = F.col("total_return") / total
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("_ss") / total - mean * mean))
     return (
         t.withColumns({"precision": precision, "recall": recall})
         .withColumn("accuracy", F.try_divide(F.col("tp") + F.col("rest") - F.col("fn"), total))
         .withColumns({"f05": f_score(0.5), "f1": f_score(1.0), "f2": f_score(2.0)})
-        .withColumn("sharpe", F.coalesce(F.when(sd > 1e-12, mean / sd * F.lit(6048**0.5)), F.lit(0.0)))
+        .withColumn("sharpe", mean / (sd + 1e-9) * F.lit(6048**0.5))
         .withColumn("trades", F.col("trades").cast("long"))
         .drop("_ss", "rest", "fn", "tp")
     )

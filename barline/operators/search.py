@@ -56,13 +56,43 @@ def assign_windows(rows: DataFrame, windows: DataFrame, train: int = 252, test:
     return joined.filter(inside).withColumn("role", F.when(pos < F.col("split"), "train").otherwise("test"))
 
 
-def window_metrics(tagged: DataFrame, keys: list[str], r: str) -> DataFrame:
-    """Sharpe, total return, win rate and row count of a return column per key."""
-    return tagged.groupBy(*keys).agg(
-        F.count(r).alias("n"),
-        F.coalesce(F.try_divide(F.avg(r), F.nullif(F.stddev_pop(r), F.lit(0.0))) * F.lit(252**0.5), F.lit(0.0)).alias("sharpe"),
-        F.coalesce(F.sum(r), F.lit(0.0)).alias("total_return"),
-        F.coalesce(F.avg((F.col(r) > 0).cast("int")), F.lit(0.0)).alias("win_rate"),
+def grid_scores(
+    rows: DataFrame, train: int = 252, test: int = 63, step: int = 21
+) -> DataFrame:
+    """Metrics of (symbol, combo, window_id, role) from (symbol, combo, pos, ret).
+
+    Windows are runs of whole steps, so rows are folded once into blocks of
+    ``step`` rows and every window adds up its blocks: no row is repeated per window.
+    """
+    if train % step or test % step:
+        raise ValueError("train and test must be multiples of step")
+    n_train, n_all = train // step, (train + test) // step
+    full = rows.groupBy("symbol").agg((F.max("pos") + 1).alias("n"))
+    blocks = rows.groupBy("symbol", "combo", F.floor(F.col("pos") / step).alias("block")).agg(
+        F.count("*").alias("n"),
+        F.sum("ret").alias("s"),
+        F.sum(F.col("ret") * F.col("ret")).alias("ss"),
+        F.sum((F.col("ret") > 0).cast("int")).alias("wins"),
+    )
+    first = F.greatest(F.lit(0), F.col("block") - (n_all - 1))
+    tagged = blocks.withColumn("window_id", F.explode(F.sequence(first, F.col("block"))))
+    windows = walk_windows(full, train, test, step).select("symbol", "window_id")
+    role = F.when(F.col("block") - F.col("window_id") < n_train, "train").otherwise("test")
+    sums = (
+        tagged.join(windows, ["symbol", "window_id"])
+        .groupBy("symbol", "combo", "window_id", role.alias("role"))
+        .agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss", "wins")])
+    )
+    mean = F.col("s") / F.col("n")
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - mean * mean))
+    return sums.select(
+        "symbol",
+        "combo",
+        "window_id",
+        "role",
+        F.when(sd > 1e-9, mean / sd * F.lit(252**0.5)).otherwise(0.0).alias("sharpe"),
+        F.col("s").alias("total_return"),
+        (F.col("wins") / F.col("n")).alias("win_rate"),
     )
 
 
@@ -70,7 +100,7 @@ def best_of(metrics: DataFrame, keys: list[str], score: str, combo: str) -> Data
     """WFO-02: highest score per key, the lowest combo number on ties."""
     rest = [c for c in metrics.columns if c not in keys]
     return metrics.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.struct(F.col(score), -F.col(combo))).alias("_best")
+        F.max_by(F.struct(*rest), F.struct(F.round(score, 9), -F.col(combo))).alias("_best")
     ).select(*keys, "_best.*")
 
 
@@ -83,12 +113,12 @@ def validation_score(s_in: Column, s_out: Column, d_in: Column, d_out: Column, d
 
 
 def overfit_risk(s_in: Column, s_out: Column, r_in: Column, r_out: Column, w_in: Column, w_out: Column) -> Column:
-    """WFO-04: mean of the available relative drops, at most 1."""
+    """WFO-04: mean of the Sharpe drop, the drop of the absolute return and the win-rate gap, at most 1."""
     drops = F.array_compact(
         F.array(
             F.when(s_in > 0, F.greatest(F.lit(0.0), F.try_divide(s_in - s_out, s_in))),
-            F.when(r_in > 0, F.greatest(F.lit(0.0), F.try_divide(r_in - r_out, r_in))),
-            F.greatest(F.lit(0.0), w_in - w_out),
+            F.when(F.abs(r_in) > 0, F.greatest(F.lit(0.0), F.try_divide(F.abs(r_in) - F.abs(r_out), F.abs(r_in)))),
+            F.abs(w_in - w_out),
         )
     )
     return F.least(F.lit(1.0), F.aggregate(drops, F.lit(0.0), lambda a, x: a + x) / F.size(drops))
@@ -104,58 +134,70 @@ def significance(sharpe: Column, total: Column, drawdown: Column) -> Column:
 
 
 def overfit_rollup(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """WFO-06 over (keys, window_id, validation, overfit, out_return)."""
+    """WFO-06 over (keys, window_id, validation, overfit, out_sharpe)."""
     d = scored.groupBy(*keys).agg(
         F.count("*").alias("windows"),
         F.avg("validation").alias("mean_validation"),
         F.stddev_pop("validation").alias("sd_validation"),
         F.avg("overfit").alias("mean_overfit"),
-        F.avg((F.col("out_return") > 0).cast("int")).alias("share_positive"),
+        F.avg((F.col("out_sharpe") > 0).cast("int")).alias("share_positive"),
         F.regr_slope("validation", F.col("window_id").cast("double")).alias("_slope"),
     )
     trend = F.when(F.col("windows") >= 3, clip(F.coalesce("_slope", F.lit(0.0)) * F.col("windows"), -1, 1)).otherwise(0.0)
+    risk, score = F.col("mean_overfit"), F.col("mean_validation")
     return d.withColumn("trend", trend).drop("_slope").withColumns(
         {
-            "overfit_class": F.when(F.col("mean_overfit") > 0.7, "high").when(F.col("mean_overfit") > 0.5, "moderate").otherwise("low"),
-            "stability_class": F.when(F.col("share_positive") > 0.8, "stable").when(F.col("share_positive") > 0.6, "moderate").otherwise("unstable"),
+            "overfit_class": F.when(risk > 0.7, "HIGH RISK").when(risk > 0.5, "MEDIUM RISK").otherwise("LOW RISK"),
+            "validation_class": F.when(score > 0.8, "EXCELLENT").when(score > 0.6, "GOOD").otherwise("POOR"),
         }
     )
 
 
-def statistical_validation(df: DataFrame, keys: list[str], x: str) -> DataFrame:
-    """WFO-07: moments, positive share and the one-sample t statistic against 0."""
+def statistical_validation(df: DataFrame, keys: list[str], sharpe: str, ret: str) -> DataFrame:
+    """WFO-07: moments, positive shares, the one-sample t statistic against 0 and the rating.
+
+    The p-value needs the t distribution and is left to the reader of t and n.
+    """
     d = df.groupBy(*keys).agg(
-        F.count(x).alias("n"),
-        F.avg(x).alias("mean"),
-        F.stddev_pop(x).alias("sd"),
-        F.skewness(x).alias("skew"),
-        F.avg((F.col(x) > 0).cast("int")).alias("share_positive"),
-        F.try_divide(F.avg(x), F.nullif(F.stddev_samp(x), F.lit(0.0)) / F.sqrt(F.count(x))).alias("t_stat"),
+        F.count(sharpe).alias("n"),
+        F.avg(sharpe).alias("sharpe_mean"),
+        F.stddev_pop(sharpe).alias("sharpe_sd"),
+        F.skewness(sharpe).alias("sharpe_skew"),
+        F.avg(ret).alias("return_mean"),
+        F.stddev_pop(ret).alias("return_sd"),
+        F.avg((F.col(sharpe) > 0).cast("int")).alias("sharpe_positive"),
+        F.avg((F.col(ret) > 0).cast("int")).alias("return_positive"),
+        F.try_divide(F.avg(sharpe), F.nullif(F.stddev_samp(sharpe), F.lit(0.0)) / F.sqrt(F.count(sharpe))).alias("t_stat"),
     )
-    strong = (F.abs("t_stat") > 2) & (F.col("share_positive") > 0.6)
+    m, p = F.col("sharpe_mean"), F.col("sharpe_positive")
     return d.withColumn(
-        "rating", F.when(strong, "strong").when(F.col("share_positive") > 0.5, "moderate").otherwise("weak")
+        "rating",
+        F.when((m > 1.0) & (p > 0.7), "EXCELLENT")
+        .when((m > 0.5) & (p > 0.6), "GOOD")
+        .when((m > 0) & (p > 0.5), "FAIR")
+        .otherwise("POOR"),
     )
 
 
-def recommendation(rollup: DataFrame) -> DataFrame:
-    """WFO-08: use or not, confidence and the list of warnings."""
-    v, o, p = F.col("mean_validation"), F.col("mean_overfit"), F.col("share_positive")
+def recommendation(rollup: DataFrame, least_windows: int = 5) -> DataFrame:
+    """WFO-08 over the roll-up and the rating: use or not, confidence and the warnings."""
+    v, o, rating = F.col("mean_validation"), F.col("mean_overfit"), F.col("rating")
+    high = (v > 0.7) & (o < 0.5) & rating.isin("EXCELLENT", "GOOD")
+    medium = (v > 0.5) & (o < 0.7) & rating.isin("GOOD", "FAIR")
+    warnings = F.array_compact(
+        F.array(
+            F.when(o > 0.7, F.lit("high overfitting risk")),
+            F.when(v < 0.5, F.lit("poor out-of-sample validation")),
+            F.when(F.col("sharpe_positive") < 0.5, F.lit("inconsistent across periods")),
+            F.when(F.col("windows") < least_windows, F.lit("too few windows")),
+            F.when(F.col("trend") < -0.5, F.lit("declining validation")),
+        )
+    )
     return rollup.withColumns(
         {
-            "use": (v >= 0.5) & (o <= 0.5),
-            "confidence": F.when((v >= 0.7) & (o <= 0.3), "high").when((v >= 0.5) & (o <= 0.5), "medium").otherwise("low"),
-            "warnings": F.concat_ws(
-                "; ",
-                F.array_compact(
-                    F.array(
-                        F.when(o > 0.5, F.lit("overfitting risk")),
-                        F.when(v < 0.5, F.lit("weak validation")),
-                        F.when(p < 0.6, F.lit("inconsistent windows")),
-                        F.when(F.col("trend") < -0.5, F.lit("decaying performance")),
-                    )
-                ),
-            ),
+            "use": high | medium,
+            "confidence": F.when(high, "HIGH").when(medium, "MEDIUM").otherwise("LOW"),
+            "warnings": F.concat_ws("; ", warnings),
         }
     )
 
@@ -173,8 +215,8 @@ def window_summary(scored: DataFrame, keys: list[str], score: str) -> DataFrame:
         F.count("*").alias("windows"),
         F.avg(score).alias("mean_score"),
         F.avg("out_return").alias("mean_return"),
-        F.max_by("window_id", F.struct(F.col(score), -F.col("window_id"))).alias("best_window"),
-        F.min_by("window_id", F.struct(score, "window_id")).alias("worst_window"),
+        F.max_by("window_id", F.struct(F.round(score, 9), -F.col("window_id"))).alias("best_window"),
+        F.min_by("window_id", F.struct(F.round(score, 9), F.col("window_id"))).alias("worst_window"),
     )
 
 
@@ -182,10 +224,10 @@ def search_thresholds(scored: DataFrame, score: str, low: float, high: float, po
     """WFO-11: best F-score over evenly spaced thresholds with at least ``least`` positives; first maximum."""
     grid = [low + (high - low) * i / (points - 1) for i in range(points)]
     counts = threshold_counts(scored, grid).filter(F.col("trades") >= least)
-    return counts.orderBy(F.desc(score), "threshold").limit(1)
+    return counts.orderBy(F.desc(F.round(score, 12)), "threshold").limit(1)
 
 
-def search_by_profit(scored: DataFrame, low: float = 0.3, high: float = 0.9, points: int = 50, cost: float = 0.002) -> DataFrame:
+def search_by_profit(scored: DataFrame, low: float = 0.3, high: float = 0.95, points: int = 50, cost: float = 0.002) -> DataFrame:
     """WFO-12: per threshold the net return, Sharpe over all rows, mean and win rate over trades.
 
     Bucketed like ``threshold_counts``: one pass over the rows, sums over the buckets.
@@ -216,7 +258,7 @@ def search_by_profit(scored: DataFrame, low: float = 0.3, high: float = 0.9, poi
         "threshold",
         F.col("_n").cast("long").alias("trades"),
         "net_return",
-        F.when(sd > 1e-12, mean / sd * F.lit(252**0.5)).otherwise(0.0).alias("sharpe"),
+        (mean / (sd + 1e-9) * F.lit(6048**0.5)).alias("sharpe"),
         F.coalesce(F.try_divide("net_return", "_n"), F.lit(0.0)).alias("avg_return"),
         F.coalesce(F.try_divide("_wins", "_n"), F.lit(0.0)).alias("win_rate"),
     )
@@ -224,7 +266,8 @@ def search_by_profit(scored: DataFrame, low: float = 0.3, high: float = 0.9, poi
 
 def hash_fractions(df: DataFrame, key: str, fractions: list[float], seed: int = 42) -> DataFrame:
     """WFO-13: repeatable subsamples; a row joins every fraction above its hash."""
-    u = F.pmod(F.crc32(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.lit(10_000)) / 10_000
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 10_000 / 10_000
     fits = F.filter(F.array(*[F.lit(f) for f in fractions]), lambda f: u < f)
     return df.withColumn("fraction", F.explode(fits))
 

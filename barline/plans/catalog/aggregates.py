@@ -180,10 +180,10 @@ def counts_sql(low: float, high: float, points: int) -> str:
     return f"""{SCORED}, t AS (SELECT {low}::DOUBLE + ({high}::DOUBLE - {low}::DOUBLE) * i / {points - 1} AS threshold FROM range({points}) x(i)),
       c AS (SELECT threshold, count(*) FILTER (score >= threshold) AS trades, count(*) FILTER (score >= threshold AND truth = 1)::DOUBLE AS tp, count(*) FILTER (score < threshold AND truth = 1)::DOUBLE AS fn,
         count(*) FILTER (score < threshold AND truth = 0)::DOUBLE AS tn, count(*) AS n, coalesce(sum(ret) FILTER (score >= threshold), 0) AS total_return,
-        stddev_pop(ret) FILTER (score >= threshold) AS sd FROM scored, t GROUP BY 1),
+        stddev_pop(CASE WHEN score >= threshold THEN ret ELSE 0 END) AS sd FROM scored, t GROUP BY 1),
       p AS (SELECT *, CASE WHEN trades > 0 THEN tp / trades ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, (tp + tn) / n AS accuracy FROM c),
       counts AS (SELECT *, coalesce(1.25 * precision * recall / nullif(0.25 * precision + recall, 0), 0) AS f05, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1,
-        coalesce(5 * precision * recall / nullif(4 * precision + recall, 0), 0) AS f2, CASE WHEN sd > 1e-9 THEN total_return / trades / sd * sqrt(6048) ELSE 0 END AS sharpe FROM p)"""
+        coalesce(5 * precision * recall / nullif(4 * precision + recall, 0), 0) AS f2, total_return / n / (sd + 1e-9) * sqrt(6048) AS sharpe FROM p)"""
 
 
 @query("agg16_threshold_counts", f"WITH {counts_sql(0.1, 0.9, 9)} SELECT * FROM counts",
