@@ -91,10 +91,10 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, features: list[str]) -> DataF
 def augment(df: DataFrame, column: str, seed: int = 42, noise: float = 0.02, low: float = 0.97, high: float = 1.03) -> DataFrame:
     """MLP-06: each array times one random scale, plus normal noise per element.
 
-    Noise comes from exploded elements, so every element draws its own value.
+    A lambda may not draw random numbers, so the noise is Box-Muller over two
+    hashes of the row's own random seed and the element's position.
     """
     scale = low + (high - low) * F.rand(seed)
-    # Box-Muller from two hashes of (row seed, position): lambdas may not draw random numbers themselves.
     d = df.withColumn("_scale", scale).withColumn("_seed", F.rand(seed + 1))
 
     def element(x: Column, i: Column) -> Column:

@@ -1 +1 @@
-"""See the modules."""
+"""Structured Streaming forms of the bar, text, position and buffer operators."""
