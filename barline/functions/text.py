@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # Whitespace as Unicode defines it.
 SPACE = r"[\s\x0B\x1c-\x1f\x85\p{Z}]+"
+WORD = r"[^\s\x0B\x1c-\x1f\x85\p{Z}]+"
 
 # Default keyword lists.
 SPAM_KEYWORDS = [
@@ -41,9 +42,11 @@ SHORT_BEARISH = ["bearish", "crash", "dump", "sell", "drop", "rekt"]
 
 
 def found(text: Column, words: list[str]) -> Column:
-    """The listed words that occur in the lower-cased text."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in words]))
+    """The listed words that occur in the lower-cased text, which is lowered once."""
+    listed = F.array(*[F.lit(w) for w in words])
+    return F.transform(
+        F.array(F.lower(text)), lambda low: F.filter(listed, lambda w: F.contains(low, w))
+    )[0]
 
 
 def spam_reasons(text: Column, keywords: list[str]) -> Column:
@@ -56,7 +59,7 @@ def spam_reasons(text: Column, keywords: list[str]) -> Column:
             F.when(n > 5000, F.lit("too_long")),
             F.when(F.size(found(text, keywords)) > 0, F.lit("spam_keywords")),
             F.when((n > 20) & (F.try_divide(caps, n) > 0.5), F.lit("excessive_caps")),
-            F.when(F.regexp_count(text, F.lit("!")) > 5, F.lit("excessive_exclamation")),
+            F.when(n - F.length(F.replace(text, F.lit("!"), F.lit(""))) > 5, F.lit("excessive_exclamation")),
             F.when(text.rlike(r"([^\n])\1{4,}"), F.lit("repeated_chars")),
         )
     )
@@ -73,18 +76,14 @@ def credibility(source: Column, trusted: list[str], low: list[str]) -> Column:
 
 def relevance(text: Column, keywords: list[str]) -> Column:
     """TXT-03: distinct keywords against a tenth of the words."""
-    flat = F.regexp_replace(F.regexp_replace(text, SPACE, " "), "^ | $", "")
-    words = F.when(flat == "", 0).otherwise(F.size(F.split(flat, " ")))
+    words = F.regexp_count(text, F.lit(WORD))
     hits = F.size(found(text, keywords))
-    return F.when(words == 0, 0.0).otherwise(
-        F.least(F.lit(1.0), hits / F.greatest(words * F.lit(0.1), F.lit(1.0)))
-    )
+    return F.least(F.lit(1.0), hits / F.greatest(words * F.lit(0.1), F.lit(1.0)))
 
 
 def text_hash(text: Column) -> Column:
     """TXT-04: md5 of the lower-cased text with single spaces."""
-    flat = F.regexp_replace(F.lower(text), SPACE, " ")
-    return F.md5(F.regexp_replace(flat, "^ | $", ""))
+    return F.md5(F.trim(F.regexp_replace(F.lower(text), SPACE, " ")))
 
 
 def flag_duplicates(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -112,13 +111,15 @@ def score_texts(
     df: DataFrame, key: str, spam: list[str], trusted: list[str], low: list[str], keywords: list[str]
 ) -> DataFrame:
     """TXT-06: component scores, the weighted sum and pass / fail at 0.6."""
-    d = flag_duplicates(df, key).withColumns(
+    # Text columns are reduced to scores before the join, so it does not move whole texts.
+    d = df.withColumns(
         {
             "is_spam": F.size(spam_reasons(F.col("text"), spam)) > 0,
             "credibility": credibility(F.col("source"), trusted, low),
             "relevance": relevance(F.col("text"), keywords),
         }
     )
+    d = flag_duplicates(d, key)
     overall = (
         0.3 * (~F.col("is_spam")).cast("int")
         + 0.25 * F.col("credibility")
@@ -171,7 +172,7 @@ def social_features(galaxy: Column, volume: Column, engagement: Column, relative
 def strip_markup(html: Column) -> Column:
     """PRJ-16: without tags, named entities and repeated whitespace."""
     bare = F.regexp_replace(F.regexp_replace(html, "<[^>]+>", ""), "&[a-z]+;", "")
-    return F.regexp_replace(F.regexp_replace(bare, SPACE, " "), "^ | $", "")
+    return F.trim(F.regexp_replace(bare, SPACE, " "))
 
 
 def source_sentiment(df: DataFrame, keys: list[str]) -> DataFrame:

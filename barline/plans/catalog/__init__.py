@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 GROUPS = (
-    "windows recurrence signals joins aggregates projection quality text info risk trades search mlprep sets "
+    "windows recurrence signals joins aggregates projection quality text info risk trades search mlprep "
     "sources streaming udf"
 ).split()
 

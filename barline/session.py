@@ -9,9 +9,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: str = "*", partitions: int = 8, memory: str = "12g") -> SparkSession:
+def local_session(
+    cpus: str = "*", partitions: int = 8, memory: str = "12g", scratch: str | None = None
+) -> SparkSession:
     """A single-JVM session for tests and the bench; clusters bring their own."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("barline")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -21,8 +23,10 @@ def local_session(cpus: str = "*", partitions: int = 8, memory: str = "12g") ->
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if scratch is not None:
+        builder = builder.config("spark.checkpoint.dir", scratch)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

@@ -1,6 +1,5 @@
 """Run registered queries next to their SQL: python tools/check.py [sf] [name prefix ...]"""
 
-import importlib
 import os
 import sys
 import time
@@ -62,13 +61,7 @@ def compare(spark, con, name, folder):
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     prefixes = tuple(sys.argv[2:])
-    groups = catalog.GROUPS
-    for g in groups:
-        try:
-            importlib.import_module(f"barline.plans.catalog.{g}")
-        except ModuleNotFoundError as e:
-            if "barline.plans.catalog" not in str(e):
-                raise
+    catalog.load_all()
     folder = f"/root/testdata/sf{sf}"
     spark, con = local_session("8"), connect(folder)
     tally = {}
