@@ -44,7 +44,7 @@ def with_states(
             .otherwise(F.array(*[lo + (hi - lo) * (i / n) for i in range(n + 1)]))
             .alias("_edges"),
         )
-    return attach(df, edges, keys).withColumn(out, _digitize(F.col(x), F.col("_edges"), n)).drop("_edges")
+    return attach(df, edges, keys, bounded).withColumn(out, _digitize(F.col(x), F.col("_edges"), n)).drop("_edges")
 
 
 def transition_matrix(states: DataFrame, keys: list[str], state: str, series: Series = BARS) -> DataFrame:

@@ -21,7 +21,7 @@ def chronological_split(
         edge += shares[name]
         hit = F.col("_pos") < F.floor(F.col("_n") * F.lit(round(edge, 10)))
         role = F.when(hit, name) if role is None else role.when(hit, name)
-    return attach(d, sizes, list(series.keys)).withColumn("split", role.otherwise(names[-1])).drop("_pos", "_n")
+    return attach(d, sizes, list(series.keys), bounded).withColumn("split", role.otherwise(names[-1])).drop("_pos", "_n")
 
 
 def split_at(df: DataFrame, ts: str, cut: str) -> DataFrame:
@@ -39,12 +39,12 @@ def normalize(df: DataFrame, columns: list[str], how: str, keys: list[str], boun
             stats = df.groupBy(*keys).agg(F.min(c).alias("_a"), (F.max(c) - F.min(c)).alias("_b"))
         else:
             mid = exact_quantiles(df, keys, c, [0.5], bounded=bounded).select(*keys, F.col("q")[0].alias("_a"))
-            off = attach(df.select(*keys, c), mid, keys).withColumn("_d", F.abs(x - F.col("_a")))
+            off = attach(df.select(*keys, c), mid, keys, bounded).withColumn("_d", F.abs(x - F.col("_a")))
             mad = exact_quantiles(off, keys, "_d", [0.5], bounded=bounded).select(*keys, F.col("q")[0].alias("_b"))
-            stats = attach(mid, mad, keys)
+            stats = attach(mid, mad, keys, bounded=True)
         flat = 0.5 if how == "minmax" else 0.0
         value = F.coalesce(F.try_divide(x - F.col("_a"), F.nullif(F.col("_b"), F.lit(0.0))), F.when(x.isNotNull(), flat))
-        df = attach(df, stats, keys).withColumn(out, value).drop("_a", "_b")
+        df = attach(df, stats, keys, bounded).withColumn(out, value).drop("_a", "_b")
     return df
 
 

@@ -73,20 +73,22 @@ def numbered(df: DataFrame, series: Series = BARS, bounded: bool = False) -> Dat
         .withColumn("_part", F.shiftright("_row", 33)),
         "numbered",
     )
-    # One row per (series, range partition): partitions + series rows in all.
+    # At most one row per range partition and series in it. Written, so that the planner
+    # knows how small it is and broadcasts it instead of shuffling the rows again.
     earlier = (
         Window.partitionBy(*series.keys)
         .orderBy("_part")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = (
+    offsets = durable(
         ranged.groupBy(*series.keys, "_part")
         .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
         .select(
             *series.keys,
             "_part",
             (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
-        )
+        ),
+        "offsets",
     )
     return (
         ranged.join(offsets, [*series.keys, "_part"])

@@ -10,6 +10,7 @@ from barline.functions.windows import fill_backward, fill_forward
 from barline.operators.aggregates import missing_shares
 from barline.operators.ordered import BARS, Series
 from barline.operators.quantiles import exact_quantiles
+from barline.session import durable
 
 # Expected ranges of known features.
 FEATURE_RANGES = {
@@ -45,9 +46,17 @@ def validate_bars(bars: DataFrame) -> DataFrame:
     return counts.withColumn("first_failure", first)
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
-    """Add statistics to rows: by key, or one row for all (size proven by the global aggregate)."""
-    return df.join(stats, keys) if keys else df.crossJoin(F.broadcast(stats))
+def attach(df: DataFrame, stats: DataFrame, keys: list[str], bounded: bool = False) -> DataFrame:
+    """Add statistics to rows.
+
+    Without keys the statistics are one row of a global aggregate. With keys they
+    are written first: the planner then knows their size and broadcasts them below
+    its threshold or sorts and merges above it, where an estimate from the rows
+    would shuffle everything on a few hot keys. bounded rows are few either way.
+    """
+    if not keys:
+        return df.crossJoin(F.broadcast(stats))
+    return df.join(stats if bounded else durable(stats, "stats"), keys)
 
 
 def iqr_fences(df: DataFrame, x: str, keys: list[str], k: float = 1.5, bounded: bool = False) -> DataFrame:
@@ -63,24 +72,24 @@ def iqr_fences(df: DataFrame, x: str, keys: list[str], k: float = 1.5, bounded:
 
 def flag_iqr(df: DataFrame, x: str, keys: list[str], k: float = 1.5, bounded: bool = False) -> DataFrame:
     """DQ-02: ``outlier`` beyond k interquartile ranges."""
-    d = attach(df, iqr_fences(df, x, keys, k, bounded), keys)
+    d = attach(df, iqr_fences(df, x, keys, k, bounded), keys, bounded)
     return d.withColumn("outlier", (F.col(x) < F.col("low_fence")) | (F.col(x) > F.col("high_fence")))
 
 
-def flag_zscore(df: DataFrame, x: str, keys: list[str], threshold: float = 3.0) -> DataFrame:
+def flag_zscore(df: DataFrame, x: str, keys: list[str], threshold: float = 3.0, bounded: bool = False) -> DataFrame:
     """DQ-03: beyond ``threshold`` sample deviations; never without spread."""
     stats = df.groupBy(*keys).agg(F.avg(x).alias("_m"), F.stddev_samp(x).alias("_sd"))
     z = F.abs(F.try_divide(F.col(x) - F.col("_m"), F.col("_sd")))
-    return attach(df, stats, keys).withColumn("outlier", F.coalesce(z > threshold, F.lit(False))).drop("_m", "_sd")
+    return attach(df, stats, keys, bounded).withColumn("outlier", F.coalesce(z > threshold, F.lit(False))).drop("_m", "_sd")
 
 
 def flag_modified_z(df: DataFrame, x: str, keys: list[str], threshold: float = 3.5, bounded: bool = False) -> DataFrame:
     """DQ-04: by the median absolute deviation; never when it is 0."""
     mid = exact_quantiles(df, keys, x, [0.5], bounded=bounded).select(*keys, F.col("q")[0].alias("_med"))
-    d = attach(df, mid, keys).withColumn("_dev", F.abs(F.col(x) - F.col("_med")))
+    d = attach(df, mid, keys, bounded).withColumn("_dev", F.abs(F.col(x) - F.col("_med")))
     mad = exact_quantiles(d, keys, "_dev", [0.5], bounded=bounded).select(*keys, F.col("q")[0].alias("_mad"))
     score = F.try_divide(0.6745 * (F.col(x) - F.col("_med")), F.col("_mad"))
-    out = attach(d, mad, keys).withColumn("outlier", F.coalesce(F.abs(score) > threshold, F.lit(False)))
+    out = attach(d, mad, keys, bounded).withColumn("outlier", F.coalesce(F.abs(score) > threshold, F.lit(False)))
     return out.drop("_med", "_dev", "_mad")
 
 
@@ -88,7 +97,7 @@ def treat_outliers(
     df: DataFrame, x: str, keys: list[str], how: str = "clip", k: float = 1.5, bounded: bool = False
 ) -> DataFrame:
     """DQ-05: clip to the fences, or replace by null or the median."""
-    d = attach(df, iqr_fences(df, x, keys, k, bounded), keys)
+    d = attach(df, iqr_fences(df, x, keys, k, bounded), keys, bounded)
     outside = (F.col(x) < F.col("low_fence")) | (F.col(x) > F.col("high_fence"))
     value = {
         "clip": F.least(F.greatest(F.col(x), F.col("low_fence")), F.col("high_fence")),
@@ -111,7 +120,7 @@ def impute(df: DataFrame, x: str, how: str, keys: list[str], series: Series = BA
         stats = df.groupBy(*keys).agg(F.avg(x).alias("_s"))
     else:
         stats = exact_quantiles(df, keys, x, [0.5], bounded=bounded).select(*keys, F.col("q")[0].alias("_s"))
-    return attach(df, stats, keys).withColumn(x, F.coalesce(x, "_s")).drop("_s")
+    return attach(df, stats, keys, bounded).withColumn(x, F.coalesce(x, "_s")).drop("_s")
 
 
 def fill_statistics(df: DataFrame, means: dict[str, str], modes: dict[str, str]) -> DataFrame:
@@ -195,8 +204,8 @@ def clean(df: DataFrame, columns: list[str], keys: list[str], series: Series = B
         f = iqr_fences(df, c, keys, bounded=bounded).select(
             *keys, F.col("low_fence").alias(f"_lo_{c}"), F.col("high_fence").alias(f"_hi_{c}")
         )
-        fences = f if fences is None else attach(fences, f, keys)
-    d = attach(df, fences, keys)
+        fences = f if fences is None else attach(fences, f, keys, bounded)
+    d = attach(df, fences, keys, bounded)
     clipped = {
         c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"_lo_{c}")), F.col(f"_hi_{c}")))
         for c in columns

@@ -2,13 +2,17 @@
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer.
 Here a sketch brackets each quantile, counts below the bracket and the few
-values inside it give the exact order statistics; all steps combine map-side.
+values inside it give the exact order statistics; all steps combine map-side. The
+brackets are written once: both later passes read them, and their known size
+lets the planner broadcast them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from barline.session import durable
+
 ACCURACY = 100_000
 
 
@@ -34,7 +38,7 @@ def exact_quantiles(
     )
     # Groups no larger than the sketch are their own bracket.
     whole = F.col("n") <= accuracy
-    brackets = sketch.select(
+    brackets = durable(sketch.select(
         *keys,
         "n",
         F.array(
@@ -47,7 +51,7 @@ def exact_quantiles(
                 for i in range(k)
             ]
         ).alias("_b"),
-    )
+    ), "brackets")
     joined = data.join(brackets, keys) if keys else data.crossJoin(F.broadcast(brackets))
     below = joined.groupBy(*keys).agg(
         *[F.count_if(F.col("_x") < F.col("_b")[i]["lo"]).alias(f"_below{i}") for i in range(k)]

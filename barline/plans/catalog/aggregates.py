@@ -56,7 +56,7 @@ MARKET = f"{R}, m AS (SELECT ts, ret AS mret FROM r WHERE symbol = 'view'), j AS
 
 
 def _market(t: Tables) -> tuple[DataFrame, DataFrame]:
-    rets = t.hourly().withColumn("ret", w.change("close"))
+    rets = t.hourly_stored().withColumn("ret", w.change("close"))
     market = rets.filter("symbol = 'view'").select("ts", F.col("ret").alias("mret"))
     return rets, rets.join(market, "ts").dropna(subset=["ret", "mret"])
 

@@ -13,7 +13,7 @@ RET = f"r AS (SELECT symbol, ts, volume, ret FROM (SELECT symbol, ts, volume, cl
 
 
 def _returns(t: Tables) -> DataFrame:
-    return t.hourly().withColumn("ret", w.change("close")).dropna(subset=["ret"]).select("symbol", "ts", "volume", "ret")
+    return t.hourly_stored().withColumn("ret", w.change("close")).dropna(subset=["ret"]).select("symbol", "ts", "volume", "ret")
 
 
 def edges(x: str, source: str, out: str) -> str:
@@ -38,7 +38,7 @@ def _states(t: Tables) -> DataFrame:
        SELECT s.symbol, s.ts, sr::BIGINT AS sr, sv::BIGINT AS sv, least(3, (volume >= lo + (hi - lo) * 0.25)::INT + (volume >= lo + (hi - lo) * 0.5)::INT + (volume >= lo + (hi - lo) * 0.75)::INT)::BIGINT AS su FROM s JOIN r ON r.symbol = s.symbol AND r.ts = s.ts JOIN u ON u.symbol = s.symbol""",
        "symbol, ts, sr, sv, su")
 def _(t: Tables) -> DataFrame:
-    return info.with_states(_states(t), "volume", ["symbol"], "su", how="uniform")
+    return info.with_states(_states(t), "volume", ["symbol"], "su", how="uniform", bounded=True)
 
 
 @query("inf02_transitions",

@@ -54,7 +54,7 @@ def _(t: Tables) -> DataFrame:
        SELECT symbol, ts, close, coalesce(last_value(market IGNORE NULLS) OVER {UPTO}, 0) AS market FROM j""",
        "symbol, ts", "close, market")
 def _(t: Tables) -> DataFrame:
-    bars = t.hourly()
+    bars = t.hourly_stored()
     market = bars.filter((F.col("symbol") == "view") & (F.col("volume") >= 2)).select(
         F.col("ts").alias("_key"), F.col("close").alias("market"))
     return joins.join_feed(bars, market, F.col("ts"), ["market"], default=0.0, bounded=True)
@@ -94,7 +94,7 @@ def _(t: Tables) -> DataFrame:
        SELECT a.ts, a.ret AS asset, b.ret AS market FROM r a JOIN r b USING (ts) WHERE a.symbol = 'click' AND b.symbol = 'view' AND a.ret IS NOT NULL AND b.ret IS NOT NULL""",
        "ts", "asset, market")
 def _(t: Tables) -> DataFrame:
-    rets = t.hourly().withColumn("ret", w.change("close"))
+    rets = t.hourly_stored().withColumn("ret", w.change("close"))
     a = rets.filter("symbol = 'click'").select("ts", F.col("ret").alias("asset"))
     b = rets.filter("symbol = 'view'").select("ts", F.col("ret").alias("market"))
     return joins.align(a, b, ["ts"], ["asset", "market"])

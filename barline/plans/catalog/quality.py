@@ -71,7 +71,7 @@ HOLES = "CASE WHEN volume >= 3 THEN close END"
        SELECT symbol, ts, coalesce(x, m) AS by_mean, coalesce(x, med) AS by_median, coalesce(x, 0) AS by_zero, last_value(x IGNORE NULLS) OVER {W} AS by_ffill FROM h JOIN s USING (symbol)""",
        "symbol, ts", "by_mean, by_median, by_zero, by_ffill")
 def _(t: Tables) -> DataFrame:
-    d = t.hourly().withColumn("x", F.expr(HOLES)).select("symbol", "ts", *[F.col("x").alias(f"by_{k}") for k in ("mean", "median", "zero", "ffill")])
+    d = t.hourly_stored().withColumn("x", F.expr(HOLES)).select("symbol", "ts", *[F.col("x").alias(f"by_{k}") for k in ("mean", "median", "zero", "ffill")])
     for how in ("mean", "median", "zero", "ffill"):
         d = dq.impute(d, f"by_{how}", how, ["symbol"], bounded=True)
     return d
@@ -121,7 +121,7 @@ COLS = ["open", "close", "volume"]
 
 
 def _holed(t: Tables) -> DataFrame:
-    return t.hourly().select("symbol", "ts", "open", "volume", F.expr(HOLES).alias("close"))
+    return t.hourly_stored().select("symbol", "ts", "open", "volume", F.expr(HOLES).alias("close"))
 
 
 @query("dq10_quality_score", f"WITH {BARS}, {HOLED}, {score_sql('hb', 'sc')} SELECT *, score >= 0.7 AS passed FROM sc", "passed", "completeness, validity, freshness, consistency, score")

@@ -224,7 +224,7 @@ def _(t: Tables) -> DataFrame:
          THEN corr(r, mm) OVER {rows(24)} END, 0.5) AS market_corr FROM k""",
        "symbol, ts", "market_corr")
 def _(t: Tables) -> DataFrame:
-    df = t.hourly().withColumns({"r": w.change("close"), "r24": w.change("close", 24)})
+    df = t.hourly_stored().withColumns({"r": w.change("close"), "r24": w.change("close", 24)})
     market = df.filter(F.col("symbol") == "view").select("ts", F.col("r24").alias("mr"))
     return (df.join(market, "ts", "left").withColumn("mm", w.sma("mr", 24))
             .withColumn("market_corr", F.coalesce(w.rolling_corr("r", "mm", 24), F.lit(0.5))))
@@ -265,7 +265,7 @@ def _(t: Tables) -> DataFrame:
        SELECT symbol, ts, coalesce(lag(mr) OVER {W} - lag(r24) OVER {W}, 0) AS lead_lag, r5 - mr AS spread FROM j""",
        "symbol, ts", "lead_lag, spread")
 def _(t: Tables) -> DataFrame:
-    df = t.hourly().withColumns({"r5": w.change("close", 5), "r24": w.change("close", 24)})
+    df = t.hourly_stored().withColumns({"r5": w.change("close", 5), "r24": w.change("close", 24)})
     market = df.filter(F.col("symbol") == "view").select("ts", F.col("r24").alias("mr"))
     return df.join(market, "ts", "left").withColumns(
         {"lead_lag": F.coalesce(F.lag("mr").over(S.spec()) - F.lag("r24").over(S.spec()), F.lit(0.0)),
@@ -289,7 +289,7 @@ def _(t: Tables) -> DataFrame:
        SELECT symbol, ts, gap, coalesce(gap > 60, false) AS over_limit, coalesce(gap > 3 * typical, false) AS over_typical FROM g JOIN m USING (symbol)""",
        "symbol, ts, over_limit, over_typical", "gap")
 def _(t: Tables) -> DataFrame:
-    gaps = t.hourly().withColumn("gap", w.gap_minutes())
+    gaps = t.hourly_stored().withColumn("gap", w.gap_minutes())
     typical = gaps.groupBy("symbol").agg(F.percentile("gap", 0.5).alias("typical"))
     return gaps.join(typical, "symbol").withColumns(
         {"over_limit": F.coalesce(F.col("gap") > 60, F.lit(False)),
