@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barline.operators.ordered import BARS, Series, numbered
 from barline.operators.quality import attach
 from barline.operators.quantiles import exact_quantiles
+from barline.operators.onerow import with_row
 
 
 def chronological_split(
@@ -78,7 +79,7 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, features: list[str]) -> DataF
     packed = scaler.agg(
         F.map_from_entries(F.collect_list(F.struct("column", F.struct("mean", "std")))).alias("_scaler")
     )
-    d = df.crossJoin(F.broadcast(packed))
+    d = with_row(df, packed)
 
     def scaled(c: str) -> Column:
         s = F.element_at("_scaler", F.lit(c))

@@ -11,6 +11,7 @@ from barline.operators.aggregates import missing_shares
 from barline.operators.ordered import BARS, Series
 from barline.operators.quantiles import exact_quantiles
 from barline.session import durable
+from barline.operators.onerow import with_row
 
 # Expected ranges of known features.
 FEATURE_RANGES = {
@@ -55,7 +56,7 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str], bounded: bool = Fal
     would shuffle everything on a few hot keys. bounded rows are few either way.
     """
     if not keys:
-        return df.crossJoin(F.broadcast(stats))
+        return with_row(df, stats)
     return df.join(stats if bounded else durable(stats, "stats"), keys)
 
 
@@ -130,7 +131,7 @@ def fill_statistics(df: DataFrame, means: dict[str, str], modes: dict[str, str])
         top = (
             df.filter(F.col(c).isNotNull()).groupBy(c).count().agg(F.min_by(c, F.struct(-F.col("count"), c)).alias(name))
         )
-        out = out.crossJoin(F.broadcast(top)).withColumn(name, F.coalesce(F.col(name).cast("string"), F.lit("unknown")))
+        out = with_row(out, top).withColumn(name, F.coalesce(F.col(name).cast("string"), F.lit("unknown")))
     return out
 
 
@@ -176,7 +177,7 @@ def quality_score(
         *[F.avg(c).alias(f"_m_{c}") for c in columns],
         *[F.stddev_samp(c).alias(f"_sd_{c}") for c in columns],
     )
-    d = df.crossJoin(F.broadcast(stats))
+    d = with_row(df, stats)
     outlier = {
         c: F.coalesce(F.abs(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_sd_{c}"))) > threshold, F.lit(False))
         for c in columns

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from barline.session import durable
+from barline.operators.onerow import with_row
 
 ACCURACY = 100_000
 
@@ -52,7 +53,7 @@ def exact_quantiles(
             ]
         ).alias("_b"),
     ), "brackets")
-    joined = data.join(brackets, keys) if keys else data.crossJoin(F.broadcast(brackets))
+    joined = data.join(brackets, keys) if keys else with_row(data, brackets)
     below = joined.groupBy(*keys).agg(
         *[F.count_if(F.col("_x") < F.col("_b")[i]["lo"]).alias(f"_below{i}") for i in range(k)]
     )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barline.operators.onerow import with_row
+
 
 def keep_first(df: DataFrame, keys: list[str], order: Column, last: bool = False) -> DataFrame:
     """SET-07: one row per key, the first (or last) by ``order``.
@@ -37,7 +39,7 @@ def overlay(history: DataFrame, recent: DataFrame, ts: str = "ts", keys: tuple[s
     An empty side gives the other one.
     """
     end = history.agg(F.max(ts).alias("_end"))
-    fresh = recent.crossJoin(F.broadcast(end)).filter(
+    fresh = with_row(recent, end).filter(
         F.col("_end").isNull() | (F.col(ts) > F.col("_end"))
     ).drop("_end")
     both = history.withColumn("_side", F.lit(0)).unionByName(fresh.withColumn("_side", F.lit(1)))

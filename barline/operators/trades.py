@@ -132,11 +132,13 @@ def equity_curve(bars: DataFrame, ledger: DataFrame, capital: float = 10_000.0)
     """
     q = F.col("side") * F.col("quantity")
     cost = q * F.col("entry_price")
-    opened = ledger.select("symbol", "ts", F.lit(1).alias("k"), q.alias("q"), cost.alias("c"), F.lit(0.0).alias("r"))
-    closed = ledger.select(
-        "symbol", F.col("exit_ts").alias("ts"), F.lit(-1).alias("k"), (-q).alias("q"), (-cost).alias("c"), F.col("pnl").alias("r")
-    )
-    moves = opened.unionByName(closed).groupBy("symbol", "ts").agg(
+    def event(ts: str, k: int, sign: int, realized: Column) -> Column:
+        return F.struct(
+            F.col(ts).alias("ts"), F.lit(k).alias("k"), (sign * q).alias("q"), (sign * cost).alias("c"), realized.alias("r")
+        )
+
+    both = F.array(event("ts", 1, 1, F.lit(0.0)), event("exit_ts", -1, -1, F.col("pnl")))
+    moves = ledger.select("symbol", F.explode(both).alias("_e")).select("symbol", "_e.*").groupBy("symbol", "ts").agg(
         F.sum("k").alias("k"), F.sum("q").alias("q"), F.sum("c").alias("c"), F.sum("r").alias("r")
     )
     upto = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)

@@ -10,6 +10,7 @@ from barline.plans import ledger as lg
 from barline.plans.catalog import BARS, BRANDS, W, query
 from barline.plans.catalog.trades import LEDGER, METRICS
 from barline.sources.tables import Tables
+from barline.operators.onerow import with_row
 
 R = f"r AS (SELECT *, close / nullif(lag(close) OVER {W}, 0) - 1 AS ret FROM bars)"
 
@@ -78,7 +79,7 @@ def _(t: Tables) -> DataFrame:
     b = both.groupBy("symbol").agg(agg.beta("ret", "mret").alias("beta"))
     a = rets.groupBy("symbol").agg(F.avg("ret").alias("am"))
     market = rets.filter("symbol = 'view'").agg(F.avg("ret").alias("mm"))
-    return a.join(b, "symbol").crossJoin(F.broadcast(market)).withColumn(
+    return with_row(a.join(b, "symbol"), market).withColumn(
         "alpha", agg.alpha(F.col("am"), F.col("mm"), F.col("beta")))
 
 

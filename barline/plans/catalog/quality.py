@@ -8,6 +8,7 @@ from barline.functions import windows as w
 from barline.operators import quality as dq
 from barline.plans.catalog import BARS, W, query
 from barline.sources.tables import Tables
+from barline.operators.onerow import with_row
 
 
 @query("dq01_validate_bars",
@@ -150,7 +151,7 @@ def _(t: Tables) -> DataFrame:
     raw = _holed(t)
     before = dq.quality_score(raw, COLS, at, RANGES).select(F.col("score").alias("before"))
     after = dq.quality_score(dq.clean(raw, COLS, ["symbol"]), COLS, at, RANGES).select(F.col("score").alias("after"))
-    return before.crossJoin(F.broadcast(after)).withColumn("improvement", F.col("after") - F.col("before"))
+    return with_row(before, after).withColumn("improvement", F.col("after") - F.col("before"))
 
 
 @query("dq12_source_report",

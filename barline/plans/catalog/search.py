@@ -10,6 +10,7 @@ from barline.plans.catalog import BARS, W, query
 from barline.plans.catalog.aggregates import SCORED, counts_sql, scored
 from barline.plans.catalog.joins import GRID
 from barline.sources.tables import Tables
+from barline.session import durable
 
 ROWS = f"""rw AS (SELECT symbol, row_number() OVER {W} - 1 AS pos, close, volume, coalesce((lead(close) OVER {W} - close) / (lead(close) OVER {W} + close + 1), 0) AS step_return FROM bars),
   wn AS (SELECT symbol, unnest(generate_series(0, (count(*) - 315) // 21)) AS window_id FROM bars GROUP BY symbol HAVING count(*) >= 315)"""
@@ -86,7 +87,7 @@ def _(t: Tables) -> DataFrame:
          CASE WHEN sharpe_positive < 0.5 THEN 'inconsistent across periods' END, CASE WHEN windows < 5 THEN 'too few windows' END, CASE WHEN trend < -0.5 THEN 'declining validation' END], lambda x: x IS NOT NULL), '; ') AS warnings FROM j""",
        "symbol, use, confidence, warnings")
 def _(t: Tables) -> DataFrame:
-    windows = wf.scored_windows(t.hourly_stored())
+    windows = durable(wf.scored_windows(t.hourly_stored()), "windows")
     return sr.recommendation(_rollup(windows).join(_stats(windows), "symbol"))
 
 

@@ -9,6 +9,7 @@ from barline.operators import aggregates as agg, trades as tr
 from barline.plans import ledger as lg
 from barline.plans.catalog import BARS, W, query
 from barline.sources.tables import Tables
+from barline.session import durable
 
 
 def entries_sql(stop: float, target: float, quantity: float = 1.0) -> str:
@@ -94,8 +95,10 @@ def _(t: Tables) -> DataFrame:
 
 
 def _summary(t: Tables) -> DataFrame:
-    led = lg.ledger(t, 0.5, 2.0, 0.01)
-    return agg.trade_summary(led, ["symbol"]).join(agg.equity_metrics(lg.equity(t), ["symbol"]), "symbol")
+    bars = t.hourly_stored()
+    led = durable(lg.from_bars(bars, 0.5, 2.0, 0.01), "ledger")
+    curve = lg.with_peak(tr.equity_curve(bars, led))
+    return agg.trade_summary(led, ["symbol"]).join(agg.equity_metrics(curve, ["symbol"]), "symbol")
 
 
 @query("trd08_signal_proxy",

@@ -26,10 +26,13 @@ def from_bars(bars: DataFrame, stop: float, target: float, quantity: float = 1.0
 
 def equity(t: Tables, stop: float = 0.5, target: float = 2.0, quantity: float = 0.01) -> DataFrame:
     """Equity curve with the previous value and the running peak (bounded by the bars of a symbol)."""
+    bars = t.hourly_stored()
+    return with_peak(trades.equity_curve(bars, from_bars(bars, stop, target, quantity)))
+
+
+def with_peak(curve: DataFrame) -> DataFrame:
     from barline.operators.ordered import BARS as S
 
-    bars = t.hourly_stored()
-    curve = trades.equity_curve(bars, from_bars(bars, stop, target, quantity))
     return curve.withColumns(
         {"prev_equity": F.lag("equity").over(S.spec()), "peak": F.max("equity").over(S.upto())}
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from barline.operators import search as sr
 from barline.operators.ordered import BARS as S, numbered
+from barline.session import durable
 
 TRAIN, TEST, STEP = 252, 63, 21
 
@@ -65,7 +66,7 @@ def window_drawdowns(bars: DataFrame, best: DataFrame) -> DataFrame:
 
 def scored_windows(bars: DataFrame) -> DataFrame:
     """WFO-03..05 on the best combination of every window."""
-    best = best_combos(bars)
+    best = durable(best_combos(bars), "best")
     d = best.join(window_drawdowns(bars, best), ["symbol", "window_id"])
     c = F.col
     return d.withColumns(

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from barline.functions.windows import change, hash_rate_features, interest_features
 from barline.operators.ordered import BARS, Series
 from barline.operators.sets import keep_first, latest
+from barline.operators.onerow import with_row
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -72,7 +73,7 @@ def latest_record(feeds: dict[str, tuple[DataFrame, str, float]], ts: str = "ts"
         df.agg(F.max_by(column, ts).alias("_v")).select(F.coalesce("_v", F.lit(default)).alias(name))
         for name, (df, column, default) in feeds.items()
     ]
-    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)
+    return reduce(with_row, parts)
 
 
 def funding(df: DataFrame) -> DataFrame:
