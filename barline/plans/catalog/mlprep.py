@@ -103,10 +103,9 @@ BASE = f"""mv AS (SELECT *, close - lag(close) OVER {W} AS d, greatest(high - lo
 
 
 @query("win28_standard_set",
-       f"""WITH RECURSIVE {BARS}, {NUMBERED}, {MACD}, {BASE} SELECT fx.symbol, fx.ts, s20 AS sma_20, {strict('avg', 'close', 50)} AS sma_50, {strict('avg', 'close', 200)} AS sma_200, ema_12, ema_26, macd, macd_signal, macd_hist,
+       f"""WITH RECURSIVE {BARS}, {NUMBERED}, {MACD}, {BASE} SELECT symbol, ts, s20 AS sma_20, {strict('avg', 'close', 50)} AS sma_50, {strict('avg', 'close', 200)} AS sma_200, ema_12, ema_26, macd, macd_signal, macd_hist,
        {RSI['strict']} AS rsi, s20 AS bb_mid, s20 + 2 * sd20 AS bb_upper, s20 - 2 * sd20 AS bb_lower, {strict('avg', 'volume', 20)} AS volume_sma, volume / ({strict('avg', 'volume', 20)}) AS volume_ratio, r10 * 100 AS roc, {strict('stddev_samp', 'r1', 20)} AS volatility
-       FROM (SELECT * FROM fx) fx JOIN md ON md.symbol = fx.symbol AND md.ts = fx.ts""".replace("OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 49", "OVER (PARTITION BY fx.symbol ORDER BY fx.ts ROWS BETWEEN 49").replace(
-           "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 199", "OVER (PARTITION BY fx.symbol ORDER BY fx.ts ROWS BETWEEN 199").replace("JOIN md ON md.symbol = fx.symbol AND md.ts = fx.ts", "JOIN md USING (symbol, ts)").replace("fx.symbol", "symbol").replace("fx.ts", "ts"),
+       FROM fx JOIN md USING (symbol, ts)""",
        "symbol, ts", "sma_20, sma_50, sma_200, ema_12, ema_26, macd, macd_signal, macd_hist, rsi, bb_mid, bb_upper, bb_lower, volume_sma, volume_ratio, roc, volatility")
 def _(t: Tables) -> DataFrame:
     return ind.standard_features(t.hourly())

@@ -8,7 +8,7 @@ from barline.functions import risk, windows as w
 from barline.operators import ordered
 from barline.operators.admission import admit
 from barline.plans import ledger as lg
-from barline.plans.catalog import BARS, W, query, strict
+from barline.plans.catalog import BARS, query, strict
 from barline.plans.catalog.signals import PAIR_SQL, _pair
 from barline.plans.catalog.trades import EQUITY, LEDGER, entries_sql
 from barline.plans.catalog.windows import TR

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barline.functions import projection as pj, windows as w
 from barline.plans import ledger as lg, reports
 from barline.plans.catalog import BARS, BRANDS, DAYS, W, query, strict
 from barline.plans.catalog.trades import LEDGER

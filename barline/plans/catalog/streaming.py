@@ -54,9 +54,8 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("str05_rolling_buffer",
-       """SELECT event_type AS symbol, event_id, list(value) OVER w AS buffer FROM events QUALIFY count(*) OVER w = 7
-       WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS 6 PRECEDING)""".replace("QUALIFY count(*) OVER w = 7\n       WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS 6 PRECEDING)",
-                                                                                   "WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS 6 PRECEDING) QUALIFY count(*) OVER w = 7"))
+       """SELECT event_type AS symbol, event_id, list(value) OVER w AS buffer FROM events
+       WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS 6 PRECEDING) QUALIFY count(*) OVER w = 7""")
 def _(t: Tables) -> DataFrame:
     return runner.run_to_parquet(state.rolling_buffer(stream_ticks(t)), "buffer")
 

@@ -101,8 +101,7 @@ for _v in RSI:
 @query("win09_bollinger",
        FROM + f"{strict('avg', 'close', 20)} AS bb_mid, {strict('avg', 'close', 20)} + 2 * ({strict('stddev_samp', 'close', 20)}) AS bb_upper, "
        f"{strict('avg', 'close', 20)} - 2 * ({strict('stddev_samp', 'close', 20)}) AS bb_lower, "
-       f"avg(close) OVER {rows(20)} + 2 * stddev_samp(close) OVER {rows(20)} AS partial_upper FROM bars".replace(
-           "END + 2", "END + 2").replace("END - 2", "END - 2"),
+       f"avg(close) OVER {rows(20)} + 2 * stddev_samp(close) OVER {rows(20)} AS partial_upper FROM bars",
        "symbol, ts", "bb_mid, bb_upper, bb_lower, partial_upper")
 def _(t: Tables) -> DataFrame:
     partial = w.bollinger(partial=True)["bb_upper"]
