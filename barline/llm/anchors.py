@@ -83,8 +83,13 @@ def placed(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at >> 40, (at >> 8) & 0xFFFFFFFF, at & 0xFF
 
 
-def seeds(docs: DataFrame, symbols: Callable[[bytes], np.ndarray], window: int, gram: int) -> DataFrame:
-    """(anchor, ctx, id, at) of every chosen gram; ``ctx`` is the fingerprint of all symbols its windows cover."""
+def seeds(docs: DataFrame, symbols: Callable[[bytes], np.ndarray], window: int, gram: int, within: bool) -> DataFrame:
+    """(deal, anchor, ctx, id, at, settled) of every chosen gram.
+
+    ``ctx`` is the fingerprint of all symbols its windows cover. Where some documents of one task share a context, all
+    but its first occurrence are settled at once and need not meet the others: ``deal`` spreads them, and names the
+    anchor for the rest. ``within``: a repeat in the same document counts.
+    """
 
     def find(rows: dict[str, list]) -> pa.RecordBatch:
         parts = []
@@ -95,10 +100,23 @@ def seeds(docs: DataFrame, symbols: Callable[[bytes], np.ndarray], window: int,
             if len(grams):
                 ctx = Ranges(s).of(first, count + window - 1)
                 parts.append((grams, ctx, np.full(len(grams), i), place(raw, first, count)))
-        cols = [np.concatenate(c).view(np.int64) for c in zip(*parts)] or [np.empty(0, np.int64)] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "ctx", "id", "at"])
-
-    return map_rows(docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text"), find, "anchor long, ctx long, id long, at long")
+        anchor, ctx, ids, at = [np.concatenate(c).view(np.int64) for c in zip(*parts)] or [np.empty(0, np.int64)] * 4
+        order = np.lexsort((at, ids, ctx, anchor))
+        a, c, i, t = anchor[order], ctx[order], ids[order], at[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        settled = i > i[head]
+        if within:
+            settled |= t != t[head]
+        deal = np.where(settled, np.arange(len(a)), a)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (deal, a, c, i, t, settled)], SEED_COLUMNS)
+
+    given = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
+    return map_rows(given, find, "deal long, anchor long, ctx long, id long, at long, settled boolean")
+
+
+SEED_COLUMNS = ["deal", "anchor", "ctx", "id", "at", "settled"]
 
 
 def packed(docs: DataFrame, rest: bool = False) -> DataFrame:

@@ -51,8 +51,13 @@ def joined(sorted_seeds: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            anchor, ctx, ids, at = columns(batch)
+            anchor, ctx, ids, at, done = columns(batch)
+            if done.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[done]) for c in (anchor, ids, at, done)], ["anchor", "id", "at", "settled"])
+                anchor, ctx, ids, at = (c[~done] for c in (anchor, ctx, ids, at))
             n = len(anchor)
+            if not n:
+                continue
             new_anchor, new_ctx = np.ones(n, bool), np.ones(n, bool)
             new_anchor[1:] = anchor[1:] != anchor[:-1]
             new_ctx[1:] = new_anchor[1:] | (ctx[1:] != ctx[:-1])
@@ -130,8 +135,8 @@ def later(sorted_windows: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, bodies: DataFrame) -> DataFrame:
     """(id, at) of every run of windows that also stand in a document with a smaller doc_id."""
-    found = seeds(docs, symbols, WINDOW, GRAM).repartition("anchor").sortWithinPartitions("anchor", "ctx", "id", "at")
-    hits = stored(joined(found), "seeds")
+    found = seeds(docs, symbols, WINDOW, GRAM, within=False).repartition("deal").sortWithinPartitions("anchor", "ctx", "id", "at")
+    hits = stored(joined(found.select("anchor", "ctx", "id", "at", "settled")), "seeds")
     open_ = contexts(bodies, hits.filter("NOT settled"), words_between, WINDOW)
     spread = windows(open_.repartition("anchor")).sortWithinPartitions("anchor", "window", "id")
     return hits.filter("settled").select("id", "at").union(later(spread))

@@ -99,7 +99,7 @@ def longs(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def matched(ordered: DataFrame) -> DataFrame:
-    """(anchor, id, at, settled) of (anchor, ctx, id, at): settled repeats, and the open ones at the end of a partition."""
+    """(anchor, id, at, settled) of (anchor, ctx, id, at, settled): repeats, then the open ones of the partition."""
 
     def scan(batches):
         family = Family()
@@ -107,7 +107,12 @@ def matched(ordered: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            anchor, ctx, ids, at = longs(batch)
+            anchor, ctx, ids, at, done = longs(batch)
+            if done.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[done]) for c in (anchor, ids, at, done)], names)
+                anchor, ctx, ids, at = (c[~done] for c in (anchor, ctx, ids, at))
+            if not len(anchor):
+                continue
             seen = family.scan(key_of(anchor, ctx), ids, at, anchor)
             if seen.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[seen]) for c in (anchor, ids, at)] + [pa.array(np.ones(seen.sum(), bool))], names)
@@ -163,8 +168,8 @@ def extended(pieces: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, bodies: DataFrame) -> DataFrame:
     """(id, at) of every run of windows that also start earlier: in a smaller doc_id, or before in the same text."""
-    dealt = seeds(docs, symbols, WINDOW, GRAM).repartition("anchor").sortWithinPartitions("id", "at")
-    hits = stored(matched(dealt), "suffixes")
+    dealt = seeds(docs, symbols, WINDOW, GRAM, within=True).repartition("deal").sortWithinPartitions("id", "at")
+    hits = stored(matched(dealt.select("anchor", "ctx", "id", "at", "settled")), "suffixes")
     pieces = contexts(bodies, hits.filter("NOT settled"), lambda raw: lambda a, b: raw[a:b], WINDOW)
     return hits.filter("settled").select("id", "at").union(extended(pieces.repartition("anchor").sortWithinPartitions("id", "at")))
 
