@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from barline.llm import mixing
 from barline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +49,23 @@ def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
     left = suffixes.deduplicated(table(spark, folder, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from barline.llm import mixing
+
+    mix = mixing.mixed(table(spark, folder, "documents"), keep=["doc_id"])
+    taken = F.aggregate("_mix.draws", F.lit(0).cast("long"), lambda acc, d: acc + d["words"])
+    return mix.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", taken.alias("taken"))
+
+
+@query
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from barline.llm import quality
+
+    judged = quality.judged(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
+    return judged.select("doc_id", "_quality.*")
+
+
+ORACLE["op8_mixing"] = mixing.TAKEN_SQL.format(docs="documents")

@@ -122,11 +122,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each group: that with the smallest id, whole and once, with the columns of ``docs``."""
-    marked = stored(docs.withColumn("_fp", fingerprint(F.col("text"))), "marked")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    marked = stored(docs.select(whole, "doc_id", fingerprint(F.col("text")).alias("_fp")), "marked")
     picks = named(marked.select("doc_id", F.col("_fp").alias("fp"))).filter("pick")
     # Joined on fingerprint and id, so that the copies of one text do not meet in one task.
     key = lambda c: (F.coalesce(c, F.lit(0)), F.isnull(c))
     picks = picks.select(F.col("fp").alias("_fp"), *(k.alias(n) for k, n in zip(key(F.col("component_id")), ("_id", "_no"))))
     rows = marked.withColumns(dict(zip(("_id", "_no"), key(F.col("doc_id")))))
     kept = rows.join(picks, ["_fp", "_id", "_no"], "left_semi").dropDuplicates(["_fp", "_id", "_no"])
-    return kept.select(*docs.columns)
+    return kept.select("_doc.*")
