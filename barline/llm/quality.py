@@ -120,4 +120,5 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     kept = ~F.col("_base_failed") & F.coalesce(F.col("_score") >= THRESHOLD, F.lit(False))
     fields = {"_n": "n_words"} | {f"_{c}": c for c in ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score")}
     made = F.struct(*[F.col(a).alias(b) for a, b in fields.items()], kept.alias("kept"))
-    return rows.select("_doc.*", made.alias("_quality"))
+    # A generator, so that a later filter on the verdict is not pushed below and spelled out once for each word.
+    return rows.select("_doc", F.explode(F.array(made)).alias("_quality")).select("_doc.*", "_quality")
