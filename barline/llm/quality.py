@@ -13,10 +13,10 @@ from barline.llm.common import WHITE
 
 #: Buckets of the hashed n-grams: the table of ratios has this many doubles, whatever the size of the corpus.
 BUCKETS = 1 << 16
-#: Added to each bucket's count.
-SMOOTHING = 1.0
+#: Added to each bucket's raw count, and in proportion of their sizes to its trusted count: rare n-grams weigh little.
+SMOOTHING = 30.0
 #: Mean log ratio below which a document is rejected. Text like the trusted text lies near zero.
-THRESHOLD = -0.2
+THRESHOLD = -0.15
 #: Words of a window that must not repeat, least words of a document, largest share of repeated words in percent.
 REPEAT_WORDS, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 
@@ -99,8 +99,8 @@ def ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     row = every.agg(
         F.array_sort(F.collect_list(F.struct("bucket", "own", "raw"))).alias("c"), F.sum("own").alias("own"), F.sum("raw").alias("raw")
     )
-    a, total = SMOOTHING, SMOOTHING * BUCKETS
-    ratio = lambda x: F.log((x["own"] + a) / (F.col("own") + total)) - F.log((x["raw"] + a) / (F.col("raw") + total))
+    share = F.col("own") / F.col("raw")
+    ratio = lambda x: F.log((x["own"] + SMOOTHING * share) / (share * (x["raw"] + SMOOTHING)))
     zero = F.lit(0.0)
     return row.select(F.transform("c", lambda x: F.when(F.col("own") == 0, zero).otherwise(ratio(x))).alias("llr"))
 

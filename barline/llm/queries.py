@@ -69,3 +69,17 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE["op8_mixing"] = mixing.TAKEN_SQL.format(docs="documents")
+
+
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from barline.llm import toxicity
+
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op2_html(spark: SparkSession, folder: str) -> DataFrame:
+    from barline.llm import html
+
+    return html.extracted(table(spark, folder, "pages"))

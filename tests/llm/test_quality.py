@@ -33,7 +33,7 @@ def brute(rows, trusted, threshold):
         raw.update(g)
         if i in trusted:
             own.update(g)
-    r, o, s = sum(raw.values()), sum(own.values()), quality.BUCKETS * quality.SMOOTHING
+    r, o, s = sum(raw.values()), sum(own.values()), quality.SMOOTHING
     out = []
     for (i, text), g in zip(rows, grams):
         text = text or ""
@@ -47,7 +47,7 @@ def brute(rows, trusted, threshold):
         failed = len(w) < 10 or 100 * len(cover) > 20 * len(w)
         score = None
         if g:
-            score = sum(math.log((own[b] + 1) / (o + s)) - math.log((raw[b] + 1) / (r + s)) if o else 0 for b in g) / len(g)
+            score = sum(math.log((own[b] + s * o / r) / (o / r * (raw[b] + s))) if o else 0 for b in g) / len(g)
         kept = not failed and score >= threshold
         out.append((i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(cover), failed, kept, score))
     return sorted(out, key=repr)
