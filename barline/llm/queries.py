@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barline.llm import mixing
+from barline.llm import licenses, mixing
 from barline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,27 @@ def op2_html(spark: SparkSession, folder: str) -> DataFrame:
     from barline.llm import html
 
     return html.extracted(table(spark, folder, "pages"))
+
+
+@query
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scanned(table(spark, folder, "documents"))
+
+
+ORACLE["op4_licenses"] = licenses.oracle()
+
+
+@query
+def op6_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    from barline.llm import topk
+
+    return topk.top_k(table(spark, folder, "embeddings"), lambda i: F.col(i) % 20 == 0)
+
+
+ORACLE["op6_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL
+  AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""

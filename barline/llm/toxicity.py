@@ -20,9 +20,11 @@ from barline.llm.common import CACHE_WORDS, mix
 
 #: Most labelled rows that the learner sees, whatever the size of the corpus.
 SAMPLE_ROWS = 12_000
-EPOCHS = 4
+EPOCHS = 8
+#: Features of fewer sampled documents are not learnt.
+LEAST_DOCUMENTS = 4
 #: Rate, its offset, L1 and L2 of FTRL-proximal.
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 2.0, 0.1
+ALPHA, BETA, L1, L2 = 3.0, 1.0, 5.0, 0.1
 #: A score from here on predicts a toxic text.
 CUT = 0.7
 
@@ -62,7 +64,10 @@ def distinct_features(text: Column) -> Column:
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, bias): the coordinates that L1 leaves, of examples given as arrays of distinct features."""
-    names, at = np.unique(np.concatenate(rows) if rows else np.empty(0, np.int64), return_inverse=True)
+    names, count = np.unique(np.concatenate(rows) if rows else np.empty(0, np.int64), return_counts=True)
+    names = names[count >= LEAST_DOCUMENTS]
+    rows = [r[np.isin(r, names)] for r in rows]
+    at = np.searchsorted(names, np.concatenate(rows)) if rows else names
     ends = np.cumsum([len(r) for r in rows])
     at = [np.append(x, len(names)) for x in np.split(at, ends[:-1])] if rows else []  # the last coordinate is the bias
     z, n = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
