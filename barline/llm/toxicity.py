@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barline.llm.common import CACHE_WORDS, mix
 
 #: Most labelled rows that the learner sees, whatever the size of the corpus.
-SAMPLE_ROWS = 12_000
-EPOCHS = 8
+SAMPLE_ROWS = 8_000
+EPOCHS = 6
 #: Features of fewer sampled documents are not learnt.
 LEAST_DOCUMENTS = 4
 #: Rate, its offset, L1 and L2 of FTRL-proximal.
@@ -64,12 +64,14 @@ def distinct_features(text: Column) -> Column:
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, bias): the coordinates that L1 leaves, of examples given as arrays of distinct features."""
-    names, count = np.unique(np.concatenate(rows) if rows else np.empty(0, np.int64), return_counts=True)
-    names = names[count >= LEAST_DOCUMENTS]
-    rows = [r[np.isin(r, names)] for r in rows]
-    at = np.searchsorted(names, np.concatenate(rows)) if rows else names
-    ends = np.cumsum([len(r) for r in rows])
-    at = [np.append(x, len(names)) for x in np.split(at, ends[:-1])] if rows else []  # the last coordinate is the bias
+    flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    names, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    often = count >= LEAST_DOCUMENTS
+    left = often[at]
+    names, at, owner = names[often], (np.cumsum(often) - 1)[at[left]], owner[left]
+    ends = np.searchsorted(owner, np.arange(1, len(rows)))
+    at = [np.append(x, len(names)) for x in np.split(at, ends)] if rows else []  # the last coordinate is the bias
     z, n = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     l1 = np.full(len(names) + 1, L1)
     l1[-1] = 0.0
