@@ -193,7 +193,7 @@ def fill_forward(x: str, s: Series = BARS) -> Column:
 
 
 def fill_backward(x: str, s: Series = BARS) -> Column:
-    return F.first(x, ignorenulls=True).over(s.onward())
+    return F.last(x, ignorenulls=True).over(s.backward())
 
 
 def fill_both(x: str, s: Series = BARS, default: float | None = None) -> Column:
@@ -213,7 +213,7 @@ def with_interpolation(df: DataFrame, x: str, out: str, s: Series = BARS) -> Dat
         .withColumns(
             {
                 "_prev": F.last("_here", ignorenulls=True).over(s.upto()),
-                "_next": F.first("_here", ignorenulls=True).over(s.onward()),
+                "_next": F.last("_here", ignorenulls=True).over(s.backward()),
             }
         )
     )

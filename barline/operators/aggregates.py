@@ -44,7 +44,7 @@ def sharpe_samp(r: str, rf: float = 0.02) -> Column:
 
 
 def trade_summary(trades: DataFrame, keys: list[str]) -> DataFrame:
-    """AGG-08. ``pnl`` already has the fee taken off; ``net_pnl`` takes it off once more, as reported."""
+    """AGG-08. ``pnl`` already has the fee taken off and is the net; ``gross_pnl`` adds the fee again."""
     won, lost = F.col("pnl") > 0, F.col("pnl") < 0
     return trades.groupBy(*keys).agg(
         F.count("*").alias("trades"),
@@ -57,7 +57,8 @@ def trade_summary(trades: DataFrame, keys: list[str]) -> DataFrame:
         F.min(F.when(lost, F.col("pnl"))).alias("largest_loss"),
         F.sum("pnl").alias("total_pnl"),
         F.sum("fees").alias("total_fees"),
-        (F.sum("pnl") - F.sum("fees")).alias("net_pnl"),
+        F.sum("pnl").alias("net_pnl"),
+        F.sum(F.col("pnl") + F.col("fees")).alias("gross_pnl"),
     )
 
 

@@ -48,8 +48,10 @@ class Series:
     def before(self) -> WindowSpec:
         return self.spec().rowsBetween(Window.unboundedPreceding, -1)
 
-    def onward(self) -> WindowSpec:
-        return self.spec().rowsBetween(0, Window.unboundedFollowing)
+    def backward(self) -> WindowSpec:
+        """This row and all later ones, read from the end: a frame that only grows costs one pass."""
+        latest_first = Window.partitionBy(*self.keys).orderBy(*[F.col(c).desc_nulls_last() for c in self.order])
+        return latest_first.rowsBetween(Window.unboundedPreceding, 0)
 
 
 BARS = Series()

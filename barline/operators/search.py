@@ -9,10 +9,10 @@ from barline.operators.aggregates import threshold_counts
 
 
 def parameter_grid(
-    ranges: DataFrame, keys: list[str], params: dict[str, tuple[str, str, str]], limit: int = 50
+    ranges: DataFrame, keys: list[str], params: dict[str, tuple[str, str, str]]
 ) -> DataFrame:
-    """JOIN-10: four-point ranges per parameter, exploded one after the other; the first
-    ``limit`` combinations of each key in parameter order are the grid.
+    """JOIN-10: four-point ranges per parameter, exploded one after the other; all
+    combinations of each key, numbered in parameter order, are the grid.
     """
     out = ranges
     for name, (lo, hi, kind) in params.items():
@@ -25,7 +25,7 @@ def parameter_grid(
             )
             out = out.withColumn(name, F.explode(points))
     order = Window.partitionBy(*keys).orderBy(*params)
-    return out.withColumn("combo", F.row_number().over(order).cast("long")).filter(F.col("combo") <= limit)
+    return out.withColumn("combo", F.row_number().over(order).cast("long"))
 
 
 def walk_windows(

@@ -123,8 +123,8 @@ def _(t: Tables) -> DataFrame:
 @query("agg08_trade_summary",
        f"""WITH {LEDGER} SELECT symbol, count(*) AS trades, count(*) FILTER (pnl > 0) AS wins, count(*) FILTER (NOT pnl > 0) AS losses, avg(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) AS win_rate,
        avg(pnl) FILTER (pnl > 0) AS avg_win, avg(pnl) FILTER (pnl < 0) AS avg_loss, max(pnl) FILTER (pnl > 0) AS largest_win, min(pnl) FILTER (pnl < 0) AS largest_loss,
-       sum(pnl) AS total_pnl, sum(fees) AS total_fees, sum(pnl) - sum(fees) AS net_pnl FROM ledger GROUP BY 1""",
-       "symbol, trades, wins, losses", "win_rate, avg_win, avg_loss, largest_win, largest_loss, total_pnl, total_fees, net_pnl")
+       sum(pnl) AS total_pnl, sum(fees) AS total_fees, sum(pnl) AS net_pnl, sum(pnl + fees) AS gross_pnl FROM ledger GROUP BY 1""",
+       "symbol, trades, wins, losses", "win_rate, avg_win, avg_loss, largest_win, largest_loss, total_pnl, total_fees, net_pnl, gross_pnl")
 def _(t: Tables) -> DataFrame:
     return agg.trade_summary(lg.ledger(t), ["symbol"])
 

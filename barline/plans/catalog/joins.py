@@ -13,62 +13,60 @@ UPTO = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CU
 
 
 @query("join01_daily_index_fill",
-       f"""WITH {BRANDS}, f AS (SELECT o_orderdate::DATE AS day, avg(o_totalprice) AS value FROM orders WHERE isodow(o_orderdate) < 6 GROUP BY 1),
+       f"""WITH {BRANDS}, f AS (SELECT o_orderdate::DATE AS day, avg(o_totalprice) AS value FROM orders GROUP BY 1),
        j AS (SELECT symbol, ts, close, value FROM brands LEFT JOIN f ON ts::DATE = day)
        SELECT symbol, ts, close, last_value(value IGNORE NULLS) OVER {UPTO} AS value FROM j""",
        "symbol, ts", "close, value")
 def _(t: Tables) -> DataFrame:
-    weekday = t.orders.filter(F.weekday("o_orderdate") < 5)
-    feed = weekday.groupBy(F.to_date("o_orderdate").alias("_key")).agg(F.avg("o_totalprice").alias("value"))
+    feed = t.orders.groupBy(F.to_date("o_orderdate").alias("_key")).agg(F.avg("o_totalprice").alias("value"))
     return joins.join_feed(t.brand_daily(), feed, F.to_date("ts"), ["value"], bounded=True)
 
 
 @query("join02_netflow_fill",
-       f"""WITH {DAYS}, f AS (SELECT ts::DATE AS day, arg_min(value, ts) - 50 AS netflow FROM events WHERE event_type = 'purchase' AND value > 30 GROUP BY 1),
+       f"""WITH {DAYS}, f AS (SELECT ts::DATE AS day, arg_min(value, ts) - 50 AS netflow FROM events WHERE event_type = 'purchase' GROUP BY 1),
        j AS (SELECT symbol, days.ts, close, netflow / 2000000 AS whale_netflow FROM days LEFT JOIN f ON days.ts::DATE = day)
        SELECT symbol, ts, close, last_value(whale_netflow * 1000 IGNORE NULLS) OVER {UPTO} AS whale_netflow FROM j""",
        "symbol, ts", "close, whale_netflow")
 def _(t: Tables) -> DataFrame:
-    flows = t.events.filter((F.col("event_type") == "purchase") & (F.col("value") > 30)).select(
+    flows = t.events.filter(F.col("event_type") == "purchase").select(
         F.to_date("ts").alias("_key"), "ts", ((F.col("value") - 50) / 2_000_000 * 1000).alias("whale_netflow"))
     return joins.join_feed(t.daily(), flows, F.to_date("ts"), ["whale_netflow"], order=F.col("ts"), bounded=True)
 
 
 @query("join03_eight_hour_fill",
-       f"""WITH {BARS}, f AS (SELECT time_bucket(INTERVAL 8 HOUR, ts, TIMESTAMP '1970-01-01') AS p, arg_min((value - 50) / 400000, ts) AS rate FROM events WHERE event_type = 'signup' AND event_id % 3 = 0 GROUP BY 1),
+       f"""WITH {BARS}, f AS (SELECT time_bucket(INTERVAL 8 HOUR, ts, TIMESTAMP '1970-01-01') AS p, arg_min((value - 50) / 400000, ts) AS rate FROM events WHERE event_type = 'signup' GROUP BY 1),
        j AS (SELECT symbol, ts, close, rate FROM bars LEFT JOIN f ON time_bucket(INTERVAL 8 HOUR, ts, TIMESTAMP '1970-01-01') = p)
        SELECT symbol, ts, close, last_value(rate IGNORE NULLS) OVER {UPTO} * 1e6 AS rate FROM j""",
        "symbol, ts", "close, rate")
 def _(t: Tables) -> DataFrame:
     from barline.schema import bucket
 
-    # A third of the ticks stands in for a sparse funding feed.
-    rates = t.events.filter((F.col("event_type") == "signup") & (F.col("event_id") % 3 == 0)).select(
+    rates = t.events.filter(F.col("event_type") == "signup").select(
         bucket("ts", "8h").alias("_key"), "ts", ((F.col("value") - 50) / 400_000 * 1e6).alias("rate"))
     return joins.join_feed(t.hourly(), rates, bucket("ts", "8h"), ["rate"], order=F.col("ts"), bounded=True)
 
 
 @query("join04_exact_time",
-       f"""WITH {BARS}, m AS (SELECT ts, close AS market FROM bars WHERE symbol = 'view' AND volume >= 2),
+       f"""WITH {BARS}, m AS (SELECT ts, close AS market FROM bars WHERE symbol = 'view'),
        j AS (SELECT symbol, bars.ts, close, market FROM bars LEFT JOIN m USING (ts))
        SELECT symbol, ts, close, coalesce(last_value(market IGNORE NULLS) OVER {UPTO}, 0) AS market FROM j""",
        "symbol, ts", "close, market")
 def _(t: Tables) -> DataFrame:
     bars = t.hourly_stored()
-    market = bars.filter((F.col("symbol") == "view") & (F.col("volume") >= 2)).select(
+    market = bars.filter(F.col("symbol") == "view").select(
         F.col("ts").alias("_key"), F.col("close").alias("market"))
     return joins.join_feed(bars, market, F.col("ts"), ["market"], default=0.0, bounded=True)
 
 
 @query("join05_market_day",
        f"""WITH {DAYS}, r AS (SELECT *, close / nullif(lag(close) OVER {W}, 0) - 1 AS ret, (high - low) / nullif(open, 0) AS vol FROM days),
-       m AS (SELECT ts::DATE AS day, arg_min(ret, ts) AS market_return, arg_min(vol, ts) AS market_vol FROM r WHERE symbol = 'view' AND volume > 65 GROUP BY 1)
+       m AS (SELECT ts::DATE AS day, arg_min(ret, ts) AS market_return, arg_min(vol, ts) AS market_vol FROM r WHERE symbol = 'view' GROUP BY 1)
        SELECT symbol, ts, coalesce(market_return, 0) AS market_return, coalesce(market_vol, vol) AS market_vol FROM r LEFT JOIN m ON ts::DATE = day""",
        "symbol, ts", "market_return, market_vol")
 def _(t: Tables) -> DataFrame:
     days = t.daily().withColumns(
         {"ret": w.change("close"), "vol": F.try_divide(F.col("high") - F.col("low"), F.col("open"))})
-    market = days.filter((F.col("symbol") == "view") & (F.col("volume") > 65)).select(
+    market = days.filter(F.col("symbol") == "view").select(
         F.to_date("ts").alias("_key"), "ts", F.col("ret").alias("market_return"), F.col("vol").alias("market_vol"))
     out = joins.join_feed(days, market, F.to_date("ts"), ["market_return", "market_vol"], order=F.col("ts"), fill=False)
     return out.withColumns({"market_return": F.coalesce("market_return", F.lit(0.0)), "market_vol": F.coalesce("market_vol", "vol")})
@@ -127,7 +125,7 @@ GRID = f"""g AS (SELECT symbol, min(volume)::BIGINT AS lo, max(volume)::BIGINT A
 
 
 @query("join10_parameter_grid",
-       f"WITH {BARS}, {GRID}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY size, level) AS combo FROM q) SELECT symbol, combo, size, level FROM r WHERE combo <= 50",
+       f"WITH {BARS}, {GRID}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY size, level) AS combo FROM q) SELECT symbol, combo, size, level FROM r",
        "symbol, combo, size", "level")
 def _(t: Tables) -> DataFrame:
     from barline.operators.search import parameter_grid
@@ -135,7 +133,7 @@ def _(t: Tables) -> DataFrame:
     ranges = t.hourly().groupBy("symbol").agg(
         F.min("volume").cast("long").alias("lo"), F.max("volume").cast("long").alias("hi"),
         F.min("close").alias("a"), F.max("close").alias("b"))
-    return parameter_grid(ranges, ["symbol"], {"size": ("lo", "hi", "int"), "level": ("a", "b", "float")}, limit=50)
+    return parameter_grid(ranges, ["symbol"], {"size": ("lo", "hi", "int"), "level": ("a", "b", "float")})
 
 
 OHLC = ["open", "high", "low", "close", "volume"]

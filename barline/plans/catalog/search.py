@@ -14,7 +14,7 @@ from barline.sources.tables import Tables
 
 ROWS = f"""rw AS (SELECT symbol, row_number() OVER {W} - 1 AS pos, close, volume, coalesce((lead(close) OVER {W} - close) / (lead(close) OVER {W} + close + 1), 0) AS step_return FROM bars),
   wn AS (SELECT symbol, unnest(generate_series(0, (count(*) - 315) // 21)) AS window_id FROM bars GROUP BY symbol HAVING count(*) >= 315)"""
-CELLS = f"""{GRID}, gr AS (SELECT * FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY size, level) AS combo, size, level FROM q) WHERE combo <= 50), {ROWS},
+CELLS = f"""{GRID}, gr AS (SELECT * FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY size, level) AS combo, size, level FROM q)), {ROWS},
   cell AS (SELECT rw.symbol, combo, window_id, pos, pos < window_id * 21 + 252 AS training, CASE WHEN close <= level AND volume >= size THEN step_return ELSE 0.0 END AS ret
     FROM rw JOIN gr USING (symbol) JOIN wn ON wn.symbol = rw.symbol AND pos >= window_id * 21 AND pos < window_id * 21 + 315),
   met AS (SELECT symbol, combo, window_id, training, CASE WHEN stddev_pop(ret) > 1e-9 THEN avg(ret) / stddev_pop(ret) * sqrt(252) ELSE 0 END AS sharpe, sum(ret) AS total_return, avg((ret > 0)::INT) AS win_rate FROM cell GROUP BY 1, 2, 3, 4),

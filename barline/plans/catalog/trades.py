@@ -47,7 +47,7 @@ METRICS = f"""{EQUITY}, q AS (SELECT symbol, ts, equity, lag(equity) OVER {W} AS
     CASE WHEN sd > 0 THEN (mean - 0.02 / 252) / sd * sqrt(252) ELSE 0 END AS sharpe, CASE WHEN down > 0 THEN (mean - 0.02 / 252) / (down * sqrt(252)) ELSE 0 END AS sortino,
     max_drawdown, max_drawdown_pct, CASE WHEN max_drawdown_pct < 0 AND pow(growth, 252.0 / n) - 1 > 0 THEN (pow(growth, 252.0 / n) - 1) / abs(max_drawdown_pct) ELSE 0 END AS calmar FROM g)"""
 BOTH = METRICS + """, ts_ AS (SELECT symbol, count(*) AS trades, avg(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) AS win_rate,
-  sum(pnl) - sum(fees) AS net_pnl FROM ledger GROUP BY 1), both_ AS (SELECT * FROM ts_ JOIN metrics USING (symbol))"""
+  sum(pnl) AS net_pnl FROM ledger GROUP BY 1), both_ AS (SELECT * FROM ts_ JOIN metrics USING (symbol))"""
 
 
 @query("trd01_entries", f"WITH {entries_sql(0.02, 0.05)} SELECT * FROM entries", "symbol, ts, side",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,19 +30,11 @@ def local_session(
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a machine-local folder: on a cluster
-    the executors would not see it.
-    """
+    """The shared folder named by ``spark.checkpoint.dir``; every executor must reach it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not root:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = os.path.join(tempfile.gettempdir(), f"barline-{os.getpid()}")
-    os.makedirs(root, exist_ok=True)
-    return root
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -6,6 +6,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -45,7 +46,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeats = int(os.environ.get("BENCH_REPEATS", "2"))
-    spark = local_session(cpus)
+    spark = local_session(cpus, scratch=tempfile.mkdtemp(prefix="barline-bench-"))
     catalog.load_all()
     times: dict[str, float] = {}
     for name in HEADLINE:

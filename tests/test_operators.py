@@ -184,3 +184,24 @@ def test_admission_rules(spark):
     out = admit(d.withColumn("ts", F.timestamp_seconds("i")).drop("i")).orderBy("ts").collect()
     assert [r.decision for r in out] == ["reduced", "approved", "approved", "approved", "approved", "rejected", "rejected", "halted", "rejected"]
     assert max(r.exposure for r in out) == pytest.approx(0.5)
+
+
+def test_backward_fill_and_interpolation_are_linear(spark):
+    """100,000 rows of one symbol; a frame that ended in unbounded following took minutes."""
+    from barline.functions import windows as w
+
+    n = 100_000
+    df = spark.range(n).select(F.lit("A").alias("symbol"), F.timestamp_seconds("id").alias("ts"), F.when(F.col("id") % 1000 == 999, F.col("id").cast("double")).alias("x"))
+    filled = df.withColumn("b", w.fill_backward("x"))
+    assert filled.agg(F.sum("b")).first()[0] == sum((i // 1000) * 1000 + 999 for i in range(n))
+    line = w.with_interpolation(df, "x", "y").agg(F.count("y"), F.max(F.abs(F.col("y") - F.unix_seconds("ts")))).first()
+    assert line[0] == n - 999 and line[1] < 1e-6
+
+
+def test_parameter_grid_has_all_combinations(spark):
+    from barline.operators.search import parameter_grid
+
+    ranges = spark.createDataFrame([("A", 1, 30, 0.0, 1.0)], "symbol string, lo long, hi long, a double, b double")
+    params = {"p": ("lo", "hi", "int"), "q": ("a", "b", "float"), "r": ("a", "b", "float")}
+    got = parameter_grid(ranges, ["symbol"], params)
+    assert got.count() == 64 and got.select("combo").distinct().count() == 64

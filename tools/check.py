@@ -2,6 +2,7 @@
 
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -63,7 +64,7 @@ def main():
     prefixes = tuple(sys.argv[2:])
     catalog.load_all()
     folder = f"/root/testdata/sf{sf}"
-    spark, con = local_session("8"), connect(folder)
+    spark, con = local_session("8", scratch=tempfile.mkdtemp(prefix="barline-check-")), connect(folder)
     tally = {}
     for name in catalog.QUERIES:
         if prefixes and not name.startswith(prefixes):
