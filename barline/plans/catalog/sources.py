@@ -193,20 +193,20 @@ def _(t: Tables) -> DataFrame:
     return _forum(t).select("doc_id", F.md5("text").alias("h"), "score", "num_comments", F.unix_seconds("ts").alias("ts_s"), "subreddit", "source")
 
 
-@query("src19_news", "SELECT conv_id, md5(text) AS h, role AS source, turn AS positive, 'u' || conv_id AS url FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, turn // 8 ORDER BY turn) <= 5")
+@query("src19_news", "SELECT conv_id, md5(text) AS h, role AS source, turn AS positive, 'u' || conv_id AS url FROM conversations")
 def _(t: Tables) -> DataFrame:
-    return feeds.news_results(_news(t), 5).select("conv_id", F.md5("text").alias("h"), "source", c("votes")["positive"].alias("positive"), "url")
+    return feeds.news_results(_news(t)).select("conv_id", F.md5("text").alias("h"), "source", c("votes")["positive"].alias("positive"), "url")
 
 
 @query("src20_rss",
-       """SELECT conv_id, turn // 8 AS part, (row_number() OVER (PARTITION BY conv_id, turn // 8 ORDER BY turn) - 1)::INT AS pos, 'Day ' || turn AS published, conv_id % 3 = 0 AS is_influencer FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, turn // 8 ORDER BY turn) <= 3""")
+       """SELECT conv_id, turn // 8 AS part, (row_number() OVER (PARTITION BY conv_id, turn // 8 ORDER BY turn) - 1)::INT AS pos, 'Day ' || turn AS published, conv_id % 3 = 0 AS is_influencer FROM conversations""")
 def _(t: Tables) -> DataFrame:
     clean = F.regexp_replace("text", "[<>&]", " ")
     item = F.concat(F.lit("<item>\n<title>"), clean, F.lit("</title>\n<pubDate>Day "), c("turn"), F.lit("</pubDate></item>"))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("e")))), lambda s: s["e"])
     user = F.when(c("conv_id") % 3 == 0, "known").otherwise("other").alias("username")
     d = t.conversations.groupBy("conv_id", F.floor(c("turn") / 8).alias("part"), user).agg(F.concat(F.lit("<rss>"), F.array_join(rows, ""), F.lit("</rss>")).alias("payload"))
-    return feeds.rss_items(d, 3, "username", ["known"]).select("conv_id", "part", "pos", "published", "is_influencer")
+    return feeds.rss_items(d, "username", ["known"]).select("conv_id", "part", "pos", "published", "is_influencer")
 
 
 @query("src21_social_metrics",
@@ -221,7 +221,7 @@ UNIFIED = """p AS (SELECT md5(text) AS h, 'reddit' AS source, n_chars + doc_id %
 
 
 def _unified(t: Tables) -> DataFrame:
-    return feeds.unified_news(_forum(t), feeds.news_results(_news(t), 8), F.timestamp_seconds(F.lit(1_700_100_000)), 24)
+    return feeds.unified_news(_forum(t), feeds.news_results(_news(t)), F.timestamp_seconds(F.lit(1_700_100_000)), 24)
 
 
 @query("src22_unified_news", f"WITH {UNIFIED} SELECT * FROM p UNION ALL SELECT * FROM n")

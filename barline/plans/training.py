@@ -8,7 +8,6 @@ from barline.functions import windows as w
 from barline.operators import joins
 from barline.operators.ordered import BARS as S, Running, Series, running
 from barline.operators.quality import acceptable_missing
-from barline.operators.resample import resample
 from barline.plans.indicators import hourly_features
 
 # The feature columns, in order.
@@ -23,13 +22,6 @@ FEATURES = [
 ]
 
 
-def ensure_hourly(bars: DataFrame) -> DataFrame:
-    """Resample to hours if the median spacing is below one; only that median reaches the driver."""
-    gaps = bars.withColumn("_gap", w.gap_minutes())
-    typical = gaps.agg(F.percentile("_gap", 0.5)).first()[0]
-    return resample(bars, "1h") if typical is not None and typical < 60 else bars
-
-
 def with_market(df: DataFrame, market: str) -> DataFrame:
     """Market columns by bar time.
 

@@ -196,15 +196,16 @@ def forum_listing(df: DataFrame) -> DataFrame:
     )
 
 
-def news_results(df: DataFrame, limit: int = 20) -> DataFrame:
-    """SRC-19: the first ``limit`` results of each response."""
+def news_results(df: DataFrame) -> DataFrame:
+    """SRC-19: the results of each response; ``pos`` is the place in it."""
     r = F.from_json(
         "payload",
         "struct<results:array<struct<title:string,source:struct<title:string>,published_at:string,votes:map<string,bigint>,url:string>>>",
     )["results"]
-    d = df.select(*_rest(df), F.explode(F.slice(r, 1, limit)).alias("_r"))
+    d = df.select(*_rest(df), F.posexplode(r).alias("pos", "_r"))
     return d.select(
         *_rest(df),
+        "pos",
         F.col("_r.title").alias("text"),
         F.col("_r.source.title").alias("source"),
         F.try_to_timestamp("_r.published_at").alias("ts"),
@@ -217,13 +218,13 @@ def news_results(df: DataFrame, limit: int = 20) -> DataFrame:
 RSS_ITEM = r"(?s)<item>.*?<title>(.*?)</title>.*?<pubDate>(.*?)</pubDate>.*?</item>"
 
 
-def rss_items(df: DataFrame, count: int = 10, user: str = "username", influencers: list[str] = ()) -> DataFrame:
-    """SRC-20: (title, pubDate) of the first ``count`` items of each raw document."""
+def rss_items(df: DataFrame, user: str = "username", influencers: list[str] = ()) -> DataFrame:
+    """SRC-20: (title, pubDate) of the items of each raw document; ``pos`` is the place in it."""
     from barline.functions.text import strip_markup
 
     titles = F.regexp_extract_all("payload", F.lit(RSS_ITEM), F.lit(1))
     dates = F.regexp_extract_all("payload", F.lit(RSS_ITEM), F.lit(2))
-    d = df.select(*_rest(df), F.posexplode(F.slice(F.arrays_zip(titles.alias("title"), dates.alias("date")), 1, count)).alias("pos", "_r"))
+    d = df.select(*_rest(df), F.posexplode(F.arrays_zip(titles.alias("title"), dates.alias("date"))).alias("pos", "_r"))
     return d.select(
         *_rest(df),
         "pos",
