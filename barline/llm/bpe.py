@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ PIECES = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 #: Pieces up to this many characters are remembered, and so many of them.
-CACHED_CHARS, CACHED_PIECES = 48, 200_000
+CACHED_CHARS, CACHED_PIECES = 48, 500_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -29,7 +29,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class Vocabulary(dict):
-    """Piece -> token ids, filled on demand; ``strings[i]`` holds the bytes of token ``i``."""
+    """Piece -> token ids as the bytes of 32-bit numbers, filled on demand; ``strings[i]`` is token ``i`` as bytes."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -55,8 +55,8 @@ class Vocabulary(dict):
         self.pieces = regex.compile(PIECES)
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.merge(piece.encode("utf-8", "surrogatepass"))
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("i", self.merge(piece.encode("utf-8", "surrogatepass"))).tobytes()
         if len(piece) <= CACHED_CHARS:
             self[piece] = ids
         return ids
@@ -106,7 +106,7 @@ class Vocabulary(dict):
         return np.concatenate([*parts, self.plain(text[at:])])
 
     def plain(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, self.pieces.findall(text))), np.int32)
+        return np.frombuffer(b"".join(map(self.__getitem__, self.pieces.findall(text))), np.int32)
 
 
 @lru_cache(maxsize=2)
