@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import heapq
 import json
 from array import array
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,9 @@ PIECES = (
 )
 #: Pieces up to this many characters are remembered, and so many of them.
 CACHED_CHARS, CACHED_PIECES = 48, 500_000
+#: A queue entry is rank and position in one number; no piece reaches 2^40 bytes.
+POSITION_BITS = 40
+LAST_POSITION = (1 << POSITION_BITS) - 1
 
 
 def byte_letters() -> dict[int, str]:
@@ -39,12 +42,16 @@ class Vocabulary(dict):
         byte = {c: b for b, c in letter.items()}
         ids = spec["model"]["vocab"]
         self.unit = [ids[letter[b]] for b in range(256)]
-        #: (left id, right id) -> (rank, merged id)
-        self.ranks = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
+        self.size = size = 1 + max([*ids.values(), *(t["id"] for t in spec["added_tokens"])])
+        #: left id * size + right id -> rank from 1, shifted to make room for a position; ``made[rank]`` is the new id
+        self.ranks: dict[int, int] = {}
+        self.made = [-1]
+        for rank, pair in enumerate(spec["model"]["merges"], 1):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks.setdefault((ids[left], ids[right]), (rank, ids[left + right]))
-        size = 1 + max([*ids.values(), *(t["id"] for t in spec["added_tokens"])])
+            self.ranks.setdefault(ids[left] * size + ids[right], rank << POSITION_BITS)
+            self.made.append(ids[left + right])
+        #: the same for two bytes, 0 where no merge joins them
+        self.byte_ranks = [[self.ranks.get(a * size + b, 0) for b in self.unit] for a in self.unit]
         strings: list[bytes] = [b""] * size
         for token, i in ids.items():
             strings[i] = bytes(byte[c] for c in token)
@@ -64,31 +71,37 @@ class Vocabulary(dict):
     def merge(self, data: bytes) -> list[int]:
         """Merge the lowest rank first, leftmost among equals.
 
-        Symbols form a doubly linked list; the queue holds (rank, position, left id, right id). An entry whose
-        symbols have changed since is stale and skipped, so nothing is ever searched or moved: n log n for n bytes.
+        Symbols form a doubly linked list; the queue holds (rank, position) as one number. ``due`` is the rank of
+        the pair that starts at each position now: an entry that differs from it is stale and skipped, so nothing is
+        ever searched or moved: n log n for n bytes.
         """
+        rank_of, made, size, byte_ranks = self.ranks.get, self.made, self.size, self.byte_ranks
         ids = [self.unit[b] for b in data]
         n = len(ids)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = []
-        for i in range(n - 1):
-            if found := self.ranks.get((ids[i], ids[i + 1])):
-                queue.append((found[0], i, ids[i], ids[i + 1]))
-        heapq.heapify(queue)
+        due = [byte_ranks[a][b] for a, b in zip(data, data[1:])] + [0]
+        queue = [rank | i for i, rank in enumerate(due) if rank]
+        heapify(queue)
         while queue:
-            _, i, left, right = heapq.heappop(queue)
-            j = after[i]
-            if ids[i] != left or j < 0 or ids[j] != right:
+            entry = heappop(queue)
+            i = entry & LAST_POSITION
+            if due[i] != entry - i:
                 continue
-            ids[i], ids[j] = self.ranks[left, right][1], -1
+            j = after[i]
+            ids[i] = merged = made[entry >> POSITION_BITS]
+            ids[j] = -1
+            due[i] = due[j] = 0
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if found := self.ranks.get((ids[i], ids[k])):
-                    heapq.heappush(queue, (found[0], i, ids[i], ids[k]))
+                if rank := rank_of(merged * size + ids[k]):
+                    due[i] = rank
+                    heappush(queue, rank | i)
             h = before[i]
-            if h >= 0 and (found := self.ranks.get((ids[h], ids[i]))):
-                heapq.heappush(queue, (found[0], h, ids[h], ids[i]))
+            if h >= 0:
+                due[h] = rank = rank_of(ids[h] * size + merged, 0)
+                if rank:
+                    heappush(queue, rank | h)
         return [x for x in ids if x >= 0]
 
     def encode(self, text: str | None) -> np.ndarray:
