@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # Whitespace as Unicode defines it.
 SPACE = r"[\s\x0B\x1c-\x1f\x85\p{Z}]+"
+#: The characters of SPACE, one by one, but for the space itself.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 WORD = r"[^\s\x0B\x1c-\x1f\x85\p{Z}]+"
 
 # Default keyword lists.
@@ -82,8 +84,12 @@ def relevance(text: Column, keywords: list[str]) -> Column:
 
 
 def text_hash(text: Column) -> Column:
-    """TXT-04: md5 of the lower-cased text with single spaces."""
-    return F.md5(F.trim(F.regexp_replace(F.lower(text), SPACE, " ")))
+    """TXT-04: md5 of the lower-cased text with single spaces.
+
+    Space characters become spaces first, one pass without a pattern; only texts with two in a row meet the pattern.
+    """
+    flat = F.translate(F.lower(text), SPACES, " " * len(SPACES))
+    return F.md5(F.trim(F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " {2,}", " ")).otherwise(flat)))
 
 
 def flag_duplicates(df: DataFrame, key: str, text: str = "text") -> DataFrame:

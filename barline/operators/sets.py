@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barline.operators.onerow import with_row
+from barline.operators.ordered import Series, numbered
 
 
 def keep_first(df: DataFrame, keys: list[str], order: Column, last: bool = False) -> DataFrame:
@@ -18,6 +19,17 @@ def keep_first(df: DataFrame, keys: list[str], order: Column, last: bool = False
     return df.groupBy(*keys).agg(pick.alias("_row")).select(*keys, "_row.*")
 
 
+def ranked(df: DataFrame, score: str, key: str, name: str = "rank") -> DataFrame:
+    """SET-04: every row with its rank by score, best first; equal scores share the first place among them.
+
+    Rows are numbered by a range shuffle, so no task sorts the whole table; ``key`` identifies a row. A score meets
+    its first place by a join on the score, whose right side has each score once. Null scores rank last.
+    """
+    at = numbered(df.withColumn("_down", -F.col(score)).withColumn("_none", F.col(score).isNull()), Series((), ("_none", "_down", key)))
+    first = at.groupBy(F.col(score).alias("_s")).agg((F.min("_pos") + 1).alias(name))
+    return at.join(first, F.col(score).eqNullSafe(F.col("_s"))).drop("_s", "_pos", "_down", "_none")
+
+
 def latest(df: DataFrame, order: str, keys: list[str] | None = None) -> DataFrame:
     """SET-03: the newest row of a feed, or of each key."""
     return keep_first(df, keys or [], F.col(order), last=True)

@@ -166,15 +166,12 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("set04_ranking",
-       """WITH s AS (SELECT o_custkey, sum(o_totalprice) AS score FROM orders GROUP BY 1)
-       SELECT o_custkey, score, rank() OVER (ORDER BY score DESC) AS place FROM s ORDER BY score DESC, o_custkey LIMIT 25""",
-       "o_custkey, place", "score")
+       """WITH s AS (SELECT o_custkey, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents FROM orders GROUP BY 1)
+       SELECT o_custkey, cents, rank() OVER (ORDER BY cents DESC) AS place FROM s""",
+       "o_custkey, cents, place")
 def _(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    # The report is a top 25: take it first (a distributed top-k), then rank those rows.
-    top = t.orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("score")).orderBy(F.desc("score"), "o_custkey").limit(25)
-    return top.withColumn("place", F.rank().over(Window.orderBy(F.desc("score"))).cast("long"))
+    scores = t.orders.groupBy("o_custkey").agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
+    return sets.ranked(scores, "cents", "o_custkey", "place")
 
 
 @query("set05_union_all",

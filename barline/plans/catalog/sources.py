@@ -75,13 +75,13 @@ def _funding_docs(t: Tables) -> DataFrame:
 
 
 @query("src06_latest_record",
-       f"""WITH {BARS} SELECT arg_max(close / 40, ts) AS ratio, arg_max(close / (close + 40), ts) AS long_pct, arg_max((close - 50) / 1000, ts) AS funding, 0.5 AS silent FROM bars WHERE symbol = 'view'""",
-       "", "ratio, long_pct, funding, silent")
+       f"""WITH {BARS} SELECT symbol, arg_max(close / 40, ts) AS ratio, arg_max(close / (close + 40), ts) AS long_pct, arg_max((close - 50) / 1000, ts) AS funding, 0.5 AS silent FROM bars GROUP BY 1""",
+       "symbol", "ratio, long_pct, funding, silent")
 def _(t: Tables) -> DataFrame:
-    ratio = feeds.long_short_ratio(documents(t, ratio_item())).filter("symbol = 'view'")
-    fund = feeds.funding(_funding_docs(t)).filter("symbol = 'view'")
+    ratio = feeds.long_short_ratio(documents(t, ratio_item()))
+    fund = feeds.funding(_funding_docs(t))
     return feeds.latest_record({"ratio": (ratio, "long_short_ratio", 1.0), "long_pct": (ratio, "long_account_pct", 0.5), "funding": (fund, "funding_rate", 0.0),
-                                "silent": (ratio.filter("symbol = 'none'"), "short_account_pct", 0.5)})
+                                "silent": (ratio.filter("false"), "short_account_pct", 0.5)}, keys=["symbol"])
 
 
 @query("src07_funding", f"WITH {BARS} SELECT symbol, ts, (close - 50) / 1000 AS funding_rate FROM bars", "symbol, ts", "funding_rate")
@@ -238,20 +238,22 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("src24_snapshot",
-       f"""WITH {BARS} SELECT arg_max(close / 40, ts) FILTER (symbol = 'view') AS ratio, arg_max(close * 1000, ts) FILTER (symbol = 'click') AS netflow, floor(arg_max(close, ts) FILTER (symbol = 'error'))::DOUBLE AS mood, 50.0 AS galaxy FROM bars""",
-       "", "ratio, netflow, mood, galaxy")
+       f"""WITH {BARS} SELECT symbol, arg_max(close / 40, ts) AS ratio, arg_max(close * 1000, ts) AS netflow, floor(arg_max(close, ts))::DOUBLE AS mood, 50.0 AS galaxy FROM bars GROUP BY 1""",
+       "symbol", "ratio, netflow, mood, galaxy")
 def _(t: Tables) -> DataFrame:
-    ratio = feeds.long_short_ratio(documents(t, ratio_item())).filter("symbol = 'view'")
-    flow = feeds.netflow(documents(t, F.struct(F.unix_seconds("ts").alias("t"), (c("close") * 1000).alias("v")))).filter("symbol = 'click'")
-    mood = t.hourly().filter("symbol = 'error'").withColumn("mood", F.floor("close").cast("double"))
+    ratio = feeds.long_short_ratio(documents(t, ratio_item()))
+    flow = feeds.netflow(documents(t, F.struct(F.unix_seconds("ts").alias("t"), (c("close") * 1000).alias("v"))))
+    mood = t.hourly().withColumn("mood", F.floor("close").cast("double"))
     return feeds.feature_snapshot({"ratio": (ratio, "long_short_ratio", 1.0), "netflow": (flow, "netflow", 0.0), "mood": (mood, "mood", 50.0),
-                                   "galaxy": (mood.filter("symbol = 'none'"), "mood", 50.0)})
+                                   "galaxy": (mood.filter("false"), "mood", 50.0)}, keys=["symbol"])
 
 
-@query("src25_fallback", f"WITH {BARS} SELECT symbol, ts, close FROM bars", "symbol, ts", "close")
+@query("src25_fallback",
+       f"WITH {BARS}, {DAYS} SELECT symbol, ts, close, TRUE AS daily FROM days UNION ALL SELECT symbol, ts, close, FALSE FROM bars ANTI JOIN days USING (symbol, ts)",
+       "symbol, ts, daily", "close")
 def _(t: Tables) -> DataFrame:
-    bars = t.hourly_stored()
-    return feeds.first_sufficient([lambda: bars.filter("volume > 1000"), lambda: bars], 100)
+    days, hours = (df.select("symbol", "ts", "close", F.lit(daily).alias("daily")) for df, daily in ((t.daily(), True), (t.hourly(), False)))
+    return feeds.preferred([days, hours], ["symbol", "ts"])
 
 
 @query("src26_scaler_file",

@@ -67,8 +67,12 @@ def long_short_ratio(df: DataFrame) -> DataFrame:
     )
 
 
-def latest_record(feeds: dict[str, tuple[DataFrame, str, float]], ts: str = "ts") -> DataFrame:
-    """SRC-06: the newest value of each (feed, column, default) in one row."""
+def latest_record(feeds: dict[str, tuple[DataFrame, str, float]], ts: str = "ts", keys: list[str] | None = None) -> DataFrame:
+    """SRC-06: the newest value of each (feed, column, default) in one row, or one row per key of any feed."""
+    if keys:
+        newest = [df.groupBy(*keys).agg(F.max_by(column, ts).alias(name)) for name, (df, column, _) in feeds.items()]
+        found = reduce(lambda a, b: a.join(b, keys, "full"), newest)
+        return found.fillna({name: default for name, (_, _, default) in feeds.items()})
     parts = [
         df.agg(F.max_by(column, ts).alias("_v")).select(F.coalesce("_v", F.lit(default)).alias(name))
         for name, (df, column, default) in feeds.items()
@@ -271,22 +275,14 @@ def unified_text(**parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
-def first_sufficient(readers: list, min_rows: int = 1000) -> DataFrame:
-    """SRC-25: the first source with ``min_rows`` rows, else the first non-empty one.
+def preferred(sources: list[DataFrame], keys: list[str]) -> DataFrame:
+    """SRC-25: the row of the first source that has the key; later sources fill the keys it lacks.
 
-    Each test stops after ``min_rows`` rows; only the count reaches the driver.
+    The choice is made per key, not by counting rows, so that two runs on a growing folder agree on the keys both
+    saw. A source is expected to hold a key once. An aggregate with map-side combine, no window.
     """
-    fallback = None
-    for read in readers:
-        df = read()
-        n = df.limit(min_rows).count()
-        if n >= min_rows:
-            return df
-        if fallback is None and n > 0:
-            fallback = df
-    if fallback is None:
-        raise ValueError("no source has rows")
-    return fallback
+    tagged = [df.withColumn("_source", F.lit(i)) for i, df in enumerate(sources)]
+    return keep_first(reduce(lambda a, b: a.unionByName(b), tagged), keys, F.col("_source")).drop("_source")
 
 
 def scaler_table(df: DataFrame) -> DataFrame:
@@ -296,9 +292,9 @@ def scaler_table(df: DataFrame) -> DataFrame:
     return d.select("column", "mean", F.try_element_at("std", F.col("column")).alias("std"))
 
 
-def feature_snapshot(feeds: dict[str, tuple[DataFrame, str, float]], ts: str = "ts") -> DataFrame:
-    """SRC-24: the last value of every feature, one row, defaults for silent feeds."""
-    return latest_record(feeds, ts)
+def feature_snapshot(feeds: dict[str, tuple[DataFrame, str, float]], ts: str = "ts", keys: list[str] | None = None) -> DataFrame:
+    """SRC-24: the last value of every feature, one row (or one per key), defaults for silent feeds."""
+    return latest_record(feeds, ts, keys)
 
 
 def latest_snapshots(df: DataFrame, ts: str, keys: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barline.functions import projection as pj, text as tx
+from barline.operators import sets
 from barline.sources import bars as files, feeds
 
 
@@ -75,12 +76,24 @@ def test_landed_documents(spark, tmp_path):
     assert [r.funding_rate for r in got] == [0.0001, None, -0.0002]
 
 
-def test_source_choice(bars):
-    few, many = bars.limit(5), bars
-    assert feeds.first_sufficient([lambda: few, lambda: many], 100).count() == bars.count()
-    assert feeds.first_sufficient([lambda: bars.limit(0), lambda: few], 100).count() == 5
-    with pytest.raises(ValueError):
-        feeds.first_sufficient([lambda: bars.limit(0)], 10)
+def test_source_choice(spark):
+    first = spark.createDataFrame([("a", 1, 10.0), ("b", 1, None)], "symbol string, ts int, close double")
+    second = spark.createDataFrame([("a", 1, 20.0), ("a", 2, 21.0), ("b", 1, 22.0)], "symbol string, ts int, close double")
+    got = feeds.preferred([first, second], ["symbol", "ts"]).orderBy("symbol", "ts").collect()
+    assert [tuple(r) for r in got] == [("a", 1, 10.0), ("a", 2, 21.0), ("b", 1, None)]
+    assert feeds.preferred([first.limit(0), second], ["symbol", "ts"]).count() == 3
+
+
+def test_ranks_share_places(spark):
+    d = spark.createDataFrame([(1, 5), (2, 9), (3, 5), (4, None), (5, 1)], "k int, score int")
+    got = {r.k: r["rank"] for r in sets.ranked(d, "score", "k").collect()}
+    assert got == {2: 1, 1: 2, 3: 2, 5: 4, 4: 5}
+
+
+def test_hash_reads_all_spaces_alike(spark):
+    d = spark.createDataFrame([("a\u3000\t b \n",), (" A b",), ("a\xa0b",), ("ab",), (None,)], "t string")
+    got = [r[0] for r in d.select(tx.text_hash(F.col("t"))).collect()]
+    assert got[0] == got[1] == got[2] != got[3] and got[4] is None
 
 
 def test_narrowing(spark):
