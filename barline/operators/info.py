@@ -204,15 +204,14 @@ def phi_columns(df: DataFrame, r: str, v: str | None = None, n: int = STATES) ->
     return _add(df, phi="(phi_iit + phi_entropy + phi_complexity) / 3")
 
 
-def trailing_arrays(bars: DataFrame, columns: dict[str, str], n: int = LOOKBACK, keys: list[str] | None = None) -> DataFrame:
-    """The last n rows of each key as sorted arrays: at most n rows per key leave a task."""
-    from barline.operators.sets import newest_rows
-
-    keys = keys or ["symbol"]
-    tail = newest_rows(bars, keys, ["ts"], n)
-    rows = F.array_sort(F.collect_list(F.struct("ts", *columns.values())))
-    packed = tail.groupBy(*keys).agg(rows.alias("_rows"))
-    return packed.select(*keys, *[F.col(f"_rows.{c}").alias(k) for k, c in columns.items()])
+def trailing_arrays(bars: DataFrame, columns: dict[str, str], n: int, series: Series = BARS) -> DataFrame:
+    """INF-06..08: for every row that ends a window of n rows, those rows as arrays in series order.
+
+    One array of n values per row and column; use ``ordered.rolling`` with halo n on long series.
+    """
+    full = F.count(F.lit(1)).over(series.last(n)) >= n
+    d = bars.withColumns({name: F.collect_list(c).over(series.last(n)) for name, c in columns.items()} | {"_full": full})
+    return d.filter("_full").select(*series.keys, *series.order, *columns)
 
 
 def changes(a: str) -> str:

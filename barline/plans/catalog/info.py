@@ -75,7 +75,7 @@ def _(t: Tables) -> DataFrame:
     return info.transfer_entropy(_states(t), ["symbol"], "sv", "sr")
 
 
-# Phi on the last 100 bars per symbol. g is the window id (here the symbol).
+# Phi per window of bars; g is the window id.
 def phi_sql(rows: str, group: str) -> str:
     """CTEs from ``rows`` (g, ts, ret[, vret]) to per-window measures."""
     e = edges("ret", rows, "pe").replace("symbol", "g")
@@ -92,17 +92,23 @@ def phi_sql(rows: str, group: str) -> str:
         FROM ph JOIN pc USING (g) JOIN ab USING (g))"""
 
 
-TAIL = f"""tb AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM bars), t100 AS (SELECT * FROM tb WHERE back <= 100),
-  tr AS (SELECT symbol AS g, ts, close / lag(close) OVER {W} - 1 AS ret, volume / lag(volume) OVER {W} - 1 AS vret FROM t100), rr AS (SELECT * FROM tr WHERE ret IS NOT NULL)"""
+# Every bar that ends a window of 100 bars is a window; its id is the symbol and the time of that bar.
+TAIL = f"""tb AS (SELECT *, row_number() OVER {W} AS i FROM bars),
+  t100 AS (SELECT e.symbol || '|' || epoch_us(e.ts)::VARCHAR AS g, x.ts, x.close, x.volume FROM tb e JOIN tb x ON x.symbol = e.symbol AND x.i BETWEEN e.i - 99 AND e.i WHERE e.i >= 100),
+  tr AS (SELECT g, ts, close / lag(close) OVER tw - 1 AS ret, volume / lag(volume) OVER tw - 1 AS vret FROM t100 WINDOW tw AS (PARTITION BY g ORDER BY ts)), rr AS (SELECT * FROM tr WHERE ret IS NOT NULL)"""
+
+
+def window_id(g: str = "g") -> str:
+    return f"split_part({g}, '|', 1) AS symbol, make_timestamp(split_part({g}, '|', 2)::BIGINT) AS ts"
 
 
 def _tail(t: Tables) -> DataFrame:
-    d = info.trailing_arrays(t.hourly(), {"closes": "close", "volumes": "volume"})
+    d = info.trailing_arrays(t.hourly(), {"closes": "close", "volumes": "volume"}, 100)
     return d.withColumn("r", F.expr(info.changes("closes"))).withColumn("v", F.expr(info.changes("volumes")))
 
 
-@query("inf06_phi", f"WITH {BARS}, {TAIL}, {phi_sql('rr', 'phi')} SELECT g AS symbol, raw_entropy, phi_uni AS phi_iit, phi_entropy, phi_complexity, (phi_uni + phi_entropy + phi_complexity) / 3 AS phi FROM phi",
-       "symbol", "raw_entropy, phi_iit, phi_entropy, phi_complexity, phi")
+@query("inf06_phi", f"WITH {BARS}, {TAIL}, {phi_sql('rr', 'phi')} SELECT {window_id()}, raw_entropy, phi_uni AS phi_iit, phi_entropy, phi_complexity, (phi_uni + phi_entropy + phi_complexity) / 3 AS phi FROM phi",
+       "symbol, ts", "raw_entropy, phi_iit, phi_entropy, phi_complexity, phi")
 def _(t: Tables) -> DataFrame:
     return info.phi_columns(_tail(t), "r")
 
@@ -110,28 +116,28 @@ def _(t: Tables) -> DataFrame:
 @query("inf06_phi_bivariate",
        f"""WITH {BARS}, {TAIL}, {phi_sql('rr', 'pa')}, vv AS (SELECT g, ts, vret AS ret FROM rr), {phi_sql('vv', 'pb').replace('pe AS', 'pe2 AS').replace('JOIN pe ON pe.g', 'JOIN pe2 ON pe2.g').replace('ps AS', 'ps2 AS').replace('FROM ps)', 'FROM ps2)').replace('pn AS', 'pn2 AS').replace('FROM pn', 'FROM pn2').replace('ph AS', 'ph2 AS').replace('FROM ph ', 'FROM ph2 ').replace('pt AS', 'pt2 AS').replace('JOIN pt ', 'JOIN pt2 ').replace('pc AS', 'pc2 AS').replace('JOIN pc ', 'JOIN pc2 ').replace('al AS', 'al2 AS').replace('FROM al ', 'FROM al2 ').replace('aa AS', 'aa2 AS').replace('FROM aa)', 'FROM aa2)').replace('ab AS', 'ab2 AS').replace('JOIN ab ', 'JOIN ab2 ')},
        jj AS (SELECT g, -sum(p * log2(p)) AS h FROM (SELECT a.g, count(*) / sum(count(*)) OVER (PARTITION BY a.g) AS p FROM ps a JOIN ps2 b ON a.g = b.g AND a.ts = b.ts GROUP BY a.g, a.s, b.s) GROUP BY 1)
-       SELECT pa.g AS symbol, greatest(0, least(1, (greatest(0, pa.raw_entropy + pb.raw_entropy - jj.h) / 2 + pa.phi_uni + pb.phi_uni) / 3)) AS phi_iit FROM pa JOIN pb USING (g) JOIN jj USING (g)""",
-       "symbol", "phi_iit")
+       SELECT {window_id('pa.g')}, greatest(0, least(1, (greatest(0, pa.raw_entropy + pb.raw_entropy - jj.h) / 2 + pa.phi_uni + pb.phi_uni) / 3)) AS phi_iit FROM pa JOIN pb USING (g) JOIN jj USING (g)""",
+       "symbol, ts", "phi_iit")
 def _(t: Tables) -> DataFrame:
     return info.phi_columns(_tail(t), "r", "v")
 
 
-REGIME = """z AS (SELECT g, avg(ret) AS m, stddev_pop(ret) AS sd, quantile_cont(abs(ret), 0.75) AS p75, count(*) AS n FROM rr GROUP BY 1),
-  x AS (SELECT g AS symbol, raw_entropy, phi_uni AS phi_iit, phi_entropy, phi_complexity, (phi_uni + phi_entropy + phi_complexity) / 3 AS phi, m, sd, p75, n FROM phi JOIN z USING (g)),
+REGIME = f"""z AS (SELECT g, avg(ret) AS m, stddev_pop(ret) AS sd, quantile_cont(abs(ret), 0.75) AS p75, count(*) AS n FROM rr GROUP BY 1),
+  x AS (SELECT {window_id()}, raw_entropy, phi_uni AS phi_iit, phi_entropy, phi_complexity, (phi_uni + phi_entropy + phi_complexity) / 3 AS phi, m, sd, p75, n FROM phi JOIN z USING (g)),
   y AS (SELECT *, CASE WHEN phi > 0.7 AND m > 0 THEN 'trending_up' WHEN phi > 0.7 AND m < 0 THEN 'trending_down' WHEN phi > 0.7 THEN 'integrated_neutral' WHEN phi > 0.4 THEN 'complex' WHEN sd > p75 THEN 'chaotic' ELSE 'random' END AS regime,
     (least(1, n / 100) + 1 - 2 * abs(phi - 0.5)) / 2 AS confidence FROM x)"""
 
 
-@query("inf07_regime", f"WITH {BARS}, {TAIL}, {phi_sql('rr', 'phi')}, {REGIME} SELECT * FROM y", "symbol, regime", "phi, confidence")
+@query("inf07_regime", f"WITH {BARS}, {TAIL}, {phi_sql('rr', 'phi')}, {REGIME} SELECT * FROM y", "symbol, ts, regime", "phi, confidence")
 def _(t: Tables) -> DataFrame:
     return info.regime_columns(info.phi_columns(_tail(t), "r"), "r")
 
 
-@query("inf08_proxy", f"WITH {BARS}, {TAIL}, {phi_sql('rr', 'phi')}, {REGIME} SELECT * FROM y", "symbol, regime",
+@query("inf08_proxy", f"WITH {BARS}, {TAIL}, {phi_sql('rr', 'phi')}, {REGIME} SELECT * FROM y", "symbol, ts, regime",
        "phi_iit, phi_entropy, phi_complexity, phi, raw_entropy, confidence")
 def _(t: Tables) -> DataFrame:
     d = info.proxy_record(info.regime_columns(info.phi_columns(_tail(t), "r"), "r"))
-    return d.select("symbol", "proxy.*")
+    return d.select("symbol", "ts", "proxy.*")
 
 
 WEEK = "wk AS (SELECT symbol, date_trunc('week', ts) AS ts, list(close ORDER BY bars.ts) AS r FROM bars GROUP BY 1, 2)"

@@ -10,7 +10,7 @@ from barline.schema import INTERVALS
 
 
 def stream_bars(ticks: DataFrame, interval: str = "1h", delay: str = "10 minutes") -> DataFrame:
-    """STR-01: OHLCV per tumbling window; a bar is emitted once the watermark passes its end."""
+    """STR-01: OHLCV per tumbling window; append mode emits a bar once the watermark passes its end, update mode at every trigger."""
     win = F.window("ts", f"{INTERVALS[interval]} seconds")
     bars = ticks.withWatermark("ts", delay).groupBy("symbol", win.alias("w")).agg(
         F.min_by("price", "ts").alias("open"),
@@ -23,7 +23,7 @@ def stream_bars(ticks: DataFrame, interval: str = "1h", delay: str = "10 minutes
 
 
 def stream_day_report(trades: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """STR-04: one report per day, emitted when the day is over."""
+    """STR-04: one report per day; append mode emits it when the day is over, update mode at every trigger."""
     day = F.window("ts", "1 day")
     out = trades.withWatermark("ts", delay).groupBy(day.alias("w")).agg(
         F.count("*").alias("trades"),

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from barline.operators.sets import keep_first
 from barline.session import scratch_path
 
 
@@ -36,7 +37,7 @@ def run_to_parquet(stream: DataFrame, name: str, partitions: int | None = None)
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
-def run_batches(stream: DataFrame, name: str, schema: T.StructType, handle) -> DataFrame:
+def run_batches(stream: DataFrame, name: str, schema: T.StructType, handle, mode: str = "append") -> DataFrame:
     """Drain a stream through ``handle(batch, path)``, which appends to ``path`` (``foreachBatch``).
 
     Each batch owns one folder and overwrites it, so a replayed batch leaves no copy.
@@ -48,10 +49,22 @@ def run_batches(stream: DataFrame, name: str, schema: T.StructType, handle) -> D
         handle(batch, f"{out}/data/batch={batch_id}")
 
     query = (
-        stream.writeStream.foreachBatch(write)
+        stream.writeStream.outputMode(mode)
+        .foreachBatch(write)
         .option("checkpointLocation", f"{out}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
     return spark.read.schema(schema).parquet(f"{out}/data")
+
+
+def run_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Drain an aggregation in update mode and read back the newest state of every key.
+
+    Windows that the watermark has not closed come out as well, with what they hold so far; a later trigger's row
+    replaces an earlier one.
+    """
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    rows = run_batches(stream, name, schema, lambda batch, path: batch.write.mode("overwrite").parquet(path), "update")
+    return keep_first(rows, keys, F.col("batch"), last=True).drop("batch")

@@ -117,7 +117,7 @@ def test_phi_kernels_agree(bars):
     """The Arrow kernel and the array expressions are two forms of one measure."""
     from barline.functions.phi import phi_of_prices
 
-    d = info.trailing_arrays(bars, {"closes": "close"}).withColumn("r", F.expr(info.changes("closes")))
+    d = info.trailing_arrays(bars, {"closes": "close"}, 100).withColumn("r", F.expr(info.changes("closes")))
     for r in info.phi_columns(d, "r").withColumn("again", phi_of_prices("closes")).collect():
         assert r.again == pytest.approx(r.phi, abs=1e-9)
 

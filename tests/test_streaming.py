@@ -47,6 +47,8 @@ def test_stream_bars_equal_batch(spark, landed):
     closed = want.filter(F.col("ts") + F.expr("interval 4 hours") <= F.lit(last))
     key = lambda df: sorted(tuple(r) for r in df.select("symbol", "ts", "open", "high", "low", "close", "volume").collect())
     assert key(got) == key(closed)
+    whole = runner.run_updates(sb.stream_bars(stream(spark, landed), "4h", "0 seconds"), "t", ["symbol", "ts"])
+    assert key(whole) == key(want)
 
 
 def test_buffers(spark, landed):
