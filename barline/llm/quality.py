@@ -2,17 +2,20 @@
 
 Words and pairs of neighbouring words are hashed into buckets. Two multinomials over the buckets are counted, one over
 the documents marked as trusted and one over all; a document's score is the mean log ratio of its n-grams, and every
-document at or above the threshold passes. All of it is DataFrame expressions.
+document at or above the threshold passes. The number of buckets follows the distinct n-grams of the input, and their
+ratios are joined by bucket, so that no table has to fit a task. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barline.llm.common import WHITE
+from barline.llm.common import WHITE, stored
 
-#: Buckets of the hashed n-grams: the table of ratios has this many doubles, whatever the size of the corpus.
-BUCKETS = 1 << 16
+#: Least buckets of the hashed n-grams, and most distinct n-grams a bucket: larger inputs get more buckets.
+BUCKETS, BUCKET_LOAD = 1 << 16, 2
+#: Ratios are summed as whole multiples of one part in so many: exact in any order of rows.
+PARTS = 1 << 32
 #: Added to each bucket's raw count, and in proportion of their sizes to its trusted count: rare n-grams weigh little.
 SMOOTHING = 30.0
 #: Mean log ratio below which a document is rejected. Text like the trusted text lies near zero.
@@ -36,13 +39,19 @@ def with_words(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).drop("_w")
 
 
-def buckets(h: str) -> Column:
-    """Buckets of the words, then of each word with the next; the last word is paired with the end."""
-    b = F.lit(BUCKETS)
-    return F.concat(
-        F.transform(h, lambda x: F.pmod(x, b)),
-        F.transform(h, lambda x, i: F.pmod(F.xxhash64(F.lit(2), x, F.get(h, i + 1)), b)),
-    )
+def ngrams(h: str) -> Column:
+    """Hashes of the words, then of each word with the next; the last word is paired with the end."""
+    return F.concat(F.col(h), F.transform(h, lambda x, i: F.xxhash64(F.lit(2), x, F.get(h, i + 1))))
+
+
+def grams_of(docs: DataFrame, *keep: Column) -> DataFrame:
+    return with_words(docs).select(*keep, F.explode(ngrams("_h")).alias("_gram"))
+
+
+def bucket_count(docs: DataFrame) -> int:
+    """A power of two, from ``BUCKETS`` on, that leaves about ``BUCKET_LOAD`` distinct n-grams or fewer to a bucket."""
+    distinct = grams_of(docs.select("text")).agg(F.approx_count_distinct("_gram")).first()[0]
+    return max(BUCKETS, 1 << max(0, -(-distinct // BUCKET_LOAD) - 1).bit_length())
 
 
 def repeated_words(h: str, n: str) -> Column:
@@ -85,24 +94,38 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_base_failed", failed)
 
 
-def ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row with ``llr``, the log ratio of every bucket: trusted against all documents, both smoothed.
+def ratios(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
+    """(bucket, llr) of the buckets in use: the log ratio of trusted against all documents, both smoothed, in ``PARTS``.
 
     Labels with a quality of 1 mark trusted documents; a document that is labelled twice is trusted if one label says so.
     Without any trusted text all ratios are zero and the base counts alone decide.
     """
     trusted = labels.groupBy("doc_id").agg((F.max("quality") == 1).alias("_trusted")).filter("_trusted")
     marked = docs.select("doc_id", "text").join(trusted, "doc_id", "left")
-    grams = with_words(marked).select(F.coalesce("_trusted", F.lit(False)).cast("long").alias("_in"), F.explode(buckets("_h")).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("_in").alias("own"))
-    every = docs.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left").na.fill(0)
-    row = every.agg(
-        F.array_sort(F.collect_list(F.struct("bucket", "own", "raw"))).alias("c"), F.sum("own").alias("own"), F.sum("raw").alias("raw")
-    )
-    share = F.col("own") / F.col("raw")
-    ratio = lambda x: F.log((x["own"] + SMOOTHING * share) / (share * (x["raw"] + SMOOTHING)))
-    zero = F.lit(0.0)
-    return row.select(F.transform("c", lambda x: F.when(F.col("own") == 0, zero).otherwise(ratio(x))).alias("llr"))
+    grams = grams_of(marked, F.coalesce("_trusted", F.lit(False)).cast("long").alias("_in"))
+    grams = grams.select("_in", F.pmod("_gram", F.lit(size)).alias("bucket"))
+    counts = stored(grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("_in").alias("own")), "quality-buckets")
+    own, raw = counts.agg(F.sum("own"), F.sum("raw")).first()
+    if not own:
+        return counts.select("bucket", F.lit(0).cast("long").alias("llr"))
+    share = own / raw
+    ratio = F.log((F.col("own") + SMOOTHING * share) / (share * (F.col("raw") + SMOOTHING)))
+    return counts.select("bucket", F.round(ratio * PARTS).cast("long").alias("llr"))
+
+
+def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(_text, _score): the mean ratio by the fingerprint of each text with words.
+
+    Copies of a text have one mean; it is the mean of all their n-grams together.
+    """
+    size = bucket_count(docs)
+    grams = grams_of(docs.select("text"), fingerprint(F.col("_t")).alias("_text"))
+    grams = grams.select("_text", F.pmod("_gram", F.lit(size)).alias("bucket"))
+    return grams.join(ratios(docs, labels, size), "bucket").groupBy("_text").agg((F.sum("llr") / F.count(F.lit(1)) / PARTS).alias("_score"))
+
+
+def fingerprint(text: Column) -> Column:
+    return F.xxhash64(F.lit(3), text)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -112,11 +135,8 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     repeated rows get equal verdicts. Labels of unknown documents and null ids have no effect.
     """
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text")
-    rows = base_counts(with_words(given)).withColumn("_b", buckets("_h"))
-    table = ratios(docs, labels)
-    rows = rows.withColumn("_llr", table.scalar())
-    total = F.aggregate("_b", F.lit(0.0), lambda acc, b: acc + F.get("_llr", b.cast("int")))
-    rows = rows.withColumn("_score", F.when(F.size("_b") > 0, total / F.size("_b")))
+    rows = given.withColumn("_text", fingerprint(F.coalesce("text", F.lit("")))).join(scores(docs, labels), "_text", "left")
+    rows = base_counts(with_words(rows))
     kept = ~F.col("_base_failed") & F.coalesce(F.col("_score") >= THRESHOLD, F.lit(False))
     fields = {"_n": "n_words"} | {f"_{c}": c for c in ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score")}
     made = F.struct(*[F.col(a).alias(b) for a, b in fields.items()], kept.alias("kept"))

@@ -89,3 +89,19 @@ def test_equals_brute_force(spark):
 def test_without_trusted_documents_and_empty(spark):
     check(spark, corpus()[:20], [])
     check(spark, [], [(1, 1)])
+
+
+def test_buckets_grow_with_the_input(spark):
+    from pyspark.sql import functions as F
+
+    def labelled_junk(folder):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{folder}/{t}.parquet") for t in ("documents", "labels"))
+        got = quality.judged(docs.select("doc_id", "text"), labels).filter("not _quality.base_failed").join(labels, "doc_id")
+        kept = F.avg(F.col("_quality.kept").cast("int"))
+        return quality.bucket_count(docs), got.groupBy("quality").agg(kept.alias("kept")).collect()
+
+    small, _ = labelled_junk("sf0.001")
+    large, rates = labelled_junk("sf0.1")
+    assert small == quality.BUCKETS and large >= 16 * small
+    rates = {r.quality: r.kept for r in rates}
+    assert rates[1] == 1 and rates[0] < 0.02
