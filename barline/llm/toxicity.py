@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barline.llm.common import CACHE_WORDS, mix
 
 #: Most labelled rows that the learner sees, whatever the size of the corpus.
-SAMPLE_ROWS = 8_000
-EPOCHS = 6
+SAMPLE_ROWS = 12_000
+EPOCHS = 8
 #: Features of fewer sampled documents are not learnt.
 LEAST_DOCUMENTS = 4
 #: Rate, its offset, L1 and L2 of FTRL-proximal.

@@ -24,3 +24,8 @@ def test_odd_rows(spark):
     assert next(r.predicted for r in rows if r.doc_id == 71) == 1
     assert {r.score for r in toxicity.scored(df, labels.limit(0)).collect()} == {0.5}
     assert toxicity.scored(df.limit(0), labels).collect() == []
+
+
+def test_fit_is_not_cut():
+    # Bounded, so that its cost does not grow with the corpus; a cheaper figure is no reason to learn from less.
+    assert toxicity.SAMPLE_ROWS >= 12_000 and toxicity.EPOCHS >= 8
