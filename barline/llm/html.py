@@ -31,6 +31,10 @@ BESIDE = frozenset(
     "comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe subscription signup "
     "login widget widgets pagination pager copyright contentinfo complementary search".split()
 )
+#: Words of names that mark the comments of readers and adverts, which stay beside the text however long they are.
+NEVER_TEXT = frozenset("ad ads advert advertisement advertising adsense sponsor sponsored promo promotion comment comments disqus respond reply replies".split())
+#: A word of BESIDE after one of these tells how a wrapper is laid out, not what it holds: has-sidebar, no-header.
+LAYOUT = frozenset("has have no not with without hide".split())
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 SPACE = re.compile(r"\s+")
@@ -92,13 +96,47 @@ def classify(tree, row) -> int:
     return tree
 
 
+def marking(names: str) -> set[str]:
+    """The words of BESIDE in class, id or role names, without those that only tell of a layout."""
+    found = set()
+    for name in names.split():
+        said = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+        for i, w in enumerate(said):
+            if w in LAYOUT:
+                break
+            if w in BESIDE:
+                found.add(w)
+    return found
+
+
+def unwrapped(found: list[list], holders: set[int]) -> tuple[list[list], bool]:
+    """Settles the marks that names give: blocks as ``blocks`` returns them, and whether the page marks its article.
+
+    Where no article or main part lies clear of marks, a named wrapper is no mark if it holds the page's article, or
+    most of the page's words and those mostly outside links.
+    """
+    has_main = any(main and not sure and not named for _, _, _, main, sure, named in found)
+    void: set[int] = set()
+    if not has_main:
+        total, held = sum(b[1] for b in found if not b[4]), {}
+        for _, words, linked, _, sure, named in found:
+            for k in named if not sure else ():
+                w, n = held.get(k, (0, 0))
+                held[k] = (w + words, n + linked)
+        void = {k for k, (w, n) in held.items() if k in holders or (2 * w > total and 2 * n < w)}
+    out = [[text, words, linked, main, sure or not void.issuperset(named)] for text, words, linked, main, sure, named in found]
+    return out, any(main and not beside for *_, main, beside in out)
+
+
 def blocks(page: str) -> tuple[list[list], bool]:
     """Blocks in page order as [text, words, linked words, in_main, beside], and whether the page marks its article."""
     out: list[list] = []
+    holders: set[int] = set()  # named wrappers that hold an article or main part
     text: list[str] = []
     linked = 0
-    parts: list[tuple[str, bool, bool]] = []  # open parts: tag, in_main, beside
-    in_link = has_main = False
+    # Open parts: tag, in_main, surely beside, wrappers whose names mark them as beside.
+    parts: list[tuple[str, bool, bool, tuple[int, ...]]] = []
+    in_link = False
     at, n = 0, len(page)
     low = page.lower() if len(page.lower()) == n else page
 
@@ -113,8 +151,7 @@ def blocks(page: str) -> tuple[list[list], bool]:
         nonlocal linked
         joined = SPACE.sub(" ", html.unescape("".join(text))).strip()
         if joined:
-            _, main, beside = parts[-1] if parts else ("", False, False)
-            out.append([joined, len(joined.split()), linked, main, beside])
+            out.append([joined, len(joined.split()), linked, *(parts[-1][1:] if parts else (False, False, ()))])
         text.clear()
         linked = 0
 
@@ -169,16 +206,19 @@ def blocks(page: str) -> tuple[list[list], bool]:
                     del parts[k:]
                     break
         else:
-            _, main, beside = parts[-1] if parts else ("", False, False)
+            _, main, sure, named = parts[-1] if parts else ("", False, False, ())
             marks = {k.lower(): (a or b or c or "").lower() for k, a, b, c in ATTRIBUTE.findall(inside)}
-            said = set(re.split(r"[^a-z0-9]+", " ".join(marks.get(k, "") for k in ("class", "id", "role"))))
+            said = marking(" ".join(marks.get(k, "") for k in ("class", "id", "role")))
             hidden = "hidden" in marks or "display:none" in marks.get("style", "").replace(" ", "")
             opens = tag in ("article", "main") or marks.get("role") in ("main", "article")
-            beside = beside or tag in ASIDE or bool(said & BESIDE) or hidden
-            has_main = has_main or (opens and not beside)
-            parts.append((tag, main or opens, beside))
+            sure = sure or tag in ASIDE or bool(said & NEVER_TEXT) or hidden
+            if said:
+                named = (*named, lt)
+            if opens and not sure:
+                holders.update(named)
+            parts.append((tag, main or opens, sure, named))
     end()
-    return out, has_main
+    return unwrapped(out, holders)
 
 
 def tag_end(page: str, at: int) -> int:

@@ -50,3 +50,21 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None, "t"), (1, None, None, "t"), (None, "u", "<p>" + "w " * 30, "t")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.n_chars) for r in html.extracted(df).collect()) == [(0, 59), (1, 0), (1, 0)]
     assert html.extracted(df.limit(0)).count() == 0
+
+
+BODY = "<h1>Title</h1><p>" + "word " * 40 + "</p>"
+WRAPPERS = [
+    "<div class='layout has-sidebar'><article>{}</article></div>", "<div id=page class=no-sidebar>{}</div>", "<article class='post related'>{}</article>",
+    "<div class='sidebar-layout'><div class=sidebar><p>no</p></div><main>{}</main></div>", "<div class='search header'><div>{}</div></div>",
+]
+
+
+@pytest.mark.parametrize("page", WRAPPERS)
+def test_wrappers_named_after_what_stands_beside_the_text(page):
+    assert html.main_text(page.format(BODY), TREE) == "Title\n" + ("word " * 40).strip()
+
+
+def test_marked_parts_stay_beside_a_clear_article():
+    other = "<div class=related><article><p>" + "tease " * 60 + "</p></article></div><section id=comments><article><p>" + "reply " * 90 + "</p></article></section>"
+    assert html.main_text(f"<article>{BODY}</article>{other}", TREE) == "Title\n" + ("word " * 40).strip()
+    assert html.main_text(f"<div class='comments'><article><p>{'reply ' * 90}</p></article></div>", TREE) == ""
