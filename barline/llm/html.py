@@ -56,19 +56,45 @@ EXAMPLES = (
     # Inside the marked article but beside its text: adverts, comments, shares.
     (14, 0.0, 90, 0.0, 110, 0.0, 0, 0), (70, 0.0, 90, 0.0, 20, 0.0, 0, 0), (2, 1.0, 60, 0.0, 2, 1.0, 0, 0),
     (1, 0.0, 3, 1.0, 0, 0.0, 0, 0),
-    # Pages without a marked article: running text, and short or linked blocks.
+    # Pages without a marked article: running text and its headings, which stand before or between long blocks.
     (90, 0.0, 40, 0.0, 60, 0.0, 2, 1), (35, 0.1, 1, 1.0, 80, 0.0, 2, 1), (12, 0.0, 60, 0.0, 55, 0.0, 2, 1),
-    (6, 0.0, 70, 0.0, 45, 0.0, 2, 1), (7, 0.0, 1, 1.0, 90, 0.0, 2, 1), (4, 0.0, 90, 0.0, 2, 0.0, 2, 1),
-    (3, 0.0, 12, 0.0, 8, 0.0, 2, 1), (20, 0.0, 0, 0.0, 0, 0.0, 2, 1), (2, 0.0, 0, 0.0, 15, 0.0, 2, 1),
+    (6, 0.0, 70, 0.0, 45, 0.0, 2, 1), (7, 0.0, 1, 1.0, 90, 0.0, 2, 1), (4, 0.0, 90, 0.0, 30, 0.0, 2, 1),
+    (3, 0.0, 12, 0.0, 40, 0.0, 2, 1), (20, 0.0, 0, 0.0, 0, 0.0, 2, 1), (2, 0.0, 0, 0.0, 15, 0.0, 2, 1),
+    (40, 0.0, 1, 1.0, 2, 0.0, 2, 1), (60, 0.0, 5, 0.0, 6, 1.0, 2, 1), (8, 0.0, 45, 0.0, 30, 0.1, 2, 1),
+    (50, 0.0, 2, 1.0, 1, 1.0, 2, 1), (18, 0.0, 35, 0.0, 20, 0.0, 2, 1), (14, 0.0, 20, 0.0, 70, 0.0, 2, 1),
+    (70, 0.0, 6, 0.0, 1, 1.0, 2, 1), (16, 0.0, 40, 0.0, 1, 1.0, 2, 1),
+    # Short paragraphs after long ones: at the end, before a heading, before another short one.
+    (10, 0.0, 60, 0.0, 0, 0.0, 2, 1), (12, 0.0, 45, 0.0, 0, 0.0, 2, 1), (13, 0.0, 70, 0.0, 6, 0.0, 2, 1), (9, 0.0, 50, 0.0, 4, 0.0, 2, 1),
+    (11, 0.0, 38, 0.0, 9, 0.0, 2, 1), (6, 0.0, 42, 0.0, 12, 0.0, 2, 1),
+    # There, linked blocks, and unlinked ones beside the text: notices between links, copyright lines after them, adverts
+    # before their link, comments between the lines that name their readers.
     (1, 1.0, 1, 1.0, 1, 1.0, 2, 0), (6, 0.9, 2, 1.0, 40, 0.0, 2, 0), (15, 0.7, 50, 0.0, 3, 1.0, 2, 0),
-    (3, 1.0, 80, 0.0, 4, 1.0, 2, 0), (12, 0.0, 60, 0.0, 3, 0.5, 0, 0), (50, 0.0, 20, 0.0, 30, 0.0, 0, 0),
+    (3, 1.0, 80, 0.0, 4, 1.0, 2, 0), (8, 0.0, 2, 1.0, 1, 1.0, 2, 0), (15, 0.0, 1, 1.0, 2, 1.0, 2, 0),
+    (3, 0.0, 1, 1.0, 2, 1.0, 2, 0), (6, 0.0, 3, 1.0, 0, 0.0, 2, 0), (5, 0.0, 2, 1.0, 0, 0.0, 2, 0),
+    (9, 0.0, 1, 1.0, 0, 0.0, 2, 0), (9, 0.0, 80, 0.0, 2, 1.0, 2, 0), (7, 0.0, 60, 0.0, 3, 1.0, 2, 0), (11, 0.0, 48, 0.0, 1, 1.0, 2, 0), (13, 0.0, 55, 0.0, 4, 1.0, 2, 0),
+    (12, 0.0, 3, 0.0, 3, 0.0, 2, 0), (9, 0.0, 2, 0.0, 4, 0.0, 2, 0), (3, 0.0, 12, 0.0, 9, 0.0, 2, 0),
+    (2, 0.0, 9, 0.0, 14, 0.0, 2, 0), (14, 0.0, 4, 0.0, 2, 1.0, 2, 0), (3, 0.0, 14, 0.0, 11, 0.0, 2, 0),
+    (4, 0.0, 2, 1.0, 12, 0.0, 2, 0), (10, 0.0, 3, 0.0, 0, 0.0, 2, 0),
+    (12, 0.0, 60, 0.0, 3, 0.5, 0, 0), (50, 0.0, 20, 0.0, 30, 0.0, 0, 0),
     (1, 0.0, 5, 0.0, 0, 0.0, 0, 0), (4, 0.5, 30, 0.0, 0, 0.0, 0, 0),
+    # In a marked article: lists of links, and comments and adverts between links; titles stand there too, but are shorter.
+    (4, 1.0, 3, 1.0, 5, 1.0, 3, 0), (2, 1.0, 2, 1.0, 3, 1.0, 3, 0), (12, 0.0, 2, 1.0, 3, 1.0, 3, 0), (15, 0.0, 3, 1.0, 1, 1.0, 3, 0),
+    (6, 0.0, 0, 0.0, 2, 1.0, 3, 1), (8, 0.0, 1, 1.0, 2, 1.0, 3, 1), (3, 0.0, 1, 1.0, 3, 1.0, 3, 1), (10, 0.0, 2, 1.0, 1, 1.0, 3, 1),
+    (13, 0.0, 9, 0.0, 8, 0.0, 3, 1), (14, 0.0, 30, 0.0, 5, 0.0, 3, 1), (12, 0.0, 4, 0.0, 13, 0.0, 3, 1), (15, 0.0, 12, 0.0, 2, 0.0, 3, 1),
+    (13, 0.0, 3, 0.0, 0, 0.0, 3, 1), (14, 0.0, 2, 1.0, 11, 0.0, 3, 1), (15, 0.0, 20, 0.0, 2, 1.0, 3, 1), (12, 0.0, 9, 0.0, 3, 1.0, 3, 1),
+    (80, 0.0, 4, 1.0, 60, 0.0, 3, 1), (40, 0.0, 5, 1.0, 30, 0.0, 3, 1), (25, 0.0, 3, 1.0, 20, 0.0, 3, 1), (9, 0.0, 4, 1.0, 60, 0.0, 3, 1),
+    (30, 0.0, 6, 1.0, 0, 0.0, 3, 1), (6, 0.0, 5, 1.0, 40, 0.0, 3, 1), (20, 0.0, 3, 1.0, 2, 1.0, 3, 1), (18, 0.0, 4, 1.0, 5, 1.0, 3, 1),
+    (14, 0.0, 4, 1.0, 40, 0.0, 3, 1), (8, 0.0, 5, 1.0, 12, 0.0, 3, 1), (8, 0.0, 4, 1.0, 3, 1.0, 3, 1), (13, 0.0, 5, 1.0, 0, 0.0, 3, 1),
+    (13, 0.0, 4, 1.0, 2, 1.0, 3, 0), (14, 0.0, 2, 1.0, 2, 1.0, 3, 0), (3, 1.0, 5, 1.0, 4, 1.0, 3, 0),
+    (3, 1.0, 4, 1.0, 60, 0.0, 3, 1), (30, 0.2, 3, 1.0, 4, 1.0, 3, 1), (12, 0.0, 5, 1.0, 9, 0.0, 3, 1),
+    (4, 1.0, 20, 0.0, 9, 0.0, 3, 1), (12, 0.3, 9, 0.0, 11, 0.2, 3, 1), (3, 1.0, 6, 0.0, 10, 0.0, 3, 1),
+    (60, 0.0, 2, 1.0, 3, 1.0, 3, 1), (35, 0.0, 1, 1.0, 1, 1.0, 3, 1), (14, 0.0, 2, 1.0, 40, 0.0, 3, 1), (10, 0.0, 50, 0.0, 2, 1.0, 3, 1),
     # The last and the first blocks of an article, and blocks that stand alone between linked ones.
     (1, 0.0, 5, 0.0, 0, 0.0, 3, 1), (3, 0.0, 2, 1.0, 0, 0.0, 3, 1), (1, 0.5, 1, 1.0, 1, 1.0, 3, 1), (9, 0.8, 0, 0.0, 7, 0.0, 3, 1),
 )
 
 
-def grow(rows, depth: int = 6):
+def grow(rows, depth: int = 9):
     """A decision tree by the least Gini impurity: a label, or (feature, limit, tree up to it, tree above)."""
     labels = [r[-1] for r in rows]
     ones = sum(labels)

@@ -68,3 +68,39 @@ def test_marked_parts_stay_beside_a_clear_article():
     other = "<div class=related><article><p>" + "tease " * 60 + "</p></article></div><section id=comments><article><p>" + "reply " * 90 + "</p></article></section>"
     assert html.main_text(f"<article>{BODY}</article>{other}", TREE) == "Title\n" + ("word " * 40).strip()
     assert html.main_text(f"<div class='comments'><article><p>{'reply ' * 90}</p></article></div>", TREE) == ""
+
+
+def used(tree) -> set[str]:
+    return {html.FEATURES[tree[0]]} | used(tree[2]) | used(tree[3]) if isinstance(tree, tuple) else set()
+
+
+def test_tree_uses_words_and_neighbours_on_unmarked_pages():
+    node = TREE
+    while node[0] == html.FEATURES.index("place"):
+        node = node[2] if html.UNMARKED <= node[1] else node[3]
+    assert {"words", "links"} <= used(node) and len({"words_before", "links_before", "words_after", "links_after"} & used(node)) >= 3
+
+
+UNMARKED_PAGE = """<div class=top><a href=1>Home</a><p><a href=2>Archive</a></div><div><h1>How the river was found again</h1>
+<p>{0}</p><h2>The second day</h2><p>{0}</p><p>{0}</p></div><div class=x1><p>Buy two pans and get one for free today</p><p><a href=3>To the shop</a></p></div>
+<div class=x2><p>Ann wrote</p><p>Such a nice walk, thank you for the words and pictures</p><p>Ben wrote</p><p>We went there too and it was rather wet</p></div>
+<div class=x3><p><a href=4>Imprint</a></p><p>All prices are given without tax here</p><p><a href=5>Contact</a></p><p>(c) 2024 The River Paper</p></div>"""
+
+
+def test_unmarked_page():
+    text = "word " * 45
+    got = html.main_text(UNMARKED_PAGE.format(text), TREE).split("\n")
+    assert got == ["How the river was found again", text.strip(), "The second day", text.strip(), text.strip()]
+
+
+def test_comments_and_links_in_a_marked_article():
+    text = ("word " * 45).strip()
+    more = "<div class=x1><p><a href=1>Ann</a></p><p>Such a nice walk, thank you for the words and for the pictures</p><p><a href=2>Answer this</a></p><p><a href=3>Next page</a></p></div>"
+    got = html.main_text(f"<article><h1>River</h1><p>{text}</p>{more}<p>{text}</p></article>", TREE)
+    assert "nice walk" not in got and got.count(text) == 2 and got.startswith("River")
+    by = html.main_text(f"<nav><a href=1>Home</a></nav><article><h1>How the river was found</h1><p><a href=2>Ann Lee</a></p><p>{text}</p></article>", TREE)
+    assert by == f"How the river was found\nAnn Lee\n{text}"
+    for n in (3, 8, 20, 45):
+        p = ("word " * n).strip()
+        page = f"<article><p><a href=1>more on this river</a></p><p>{p}</p><p>{text}</p></article>"
+        assert html.main_text(page, TREE) == f"more on this river\n{p}\n{text}"
