@@ -50,8 +50,12 @@ def whole_characters(raw: Column) -> Column:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """As many copies of each document as the mix of sources takes; the last of a source's quota is cut to size."""
-    return documents_of(mixing.written(mixing.mixed(docs), COLUMNS))
+    """As many copies of each document as the mix of sources takes; the last of a source's quota is cut to size.
+
+    The partitions, one after the other, hold the shards of the mix, each in its shuffled order; a large shard takes several.
+    """
+    rows = mixing.written(mixing.mixed(docs), COLUMNS)
+    return documents_of(rows.repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order", "doc_id"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -58,3 +58,20 @@ def test_hypergeometric(spark):
     assert abs(mean - 20 * 25 / 60) < 0.15 and abs(var - 20 * 25 / 60 * 35 / 60 * 40 / 59) < 0.25
     edge = spark.range(1).select(mixing.hypergeometric(F.lit(5), F.lit(5), F.lit(3), F.lit(0.99)), mixing.hypergeometric(F.lit(0), F.lit(0), F.lit(0), F.lit(0.5)))
     assert tuple(edge.first()) == (3, 0)
+
+
+def test_pipeline_writes_shards_in_order(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame([(i, f"w{i} " * (i % 7 + 1), "en", "ab"[i % 2], 0) for i in range(200)], "doc_id long, text string, lang string, source string, n_chars long")
+    made = mixing.written(mixing.mixed(docs), cp.COLUMNS).collect()
+    shards = {}
+    for r in sorted(made, key=lambda r: (r._shard, r._order, r.doc_id)):
+        shards.setdefault(r._shard, []).append((r.doc_id, r.text))
+    parts = cp.mix_sources(spark, docs, "").rdd.map(lambda r: (r.doc_id, r.text)).glom().collect()
+    assert [row for p in parts for row in p] == [row for rows in shards.values() for row in rows] and len(shards) > 1
+    words = {}
+    for r in mixing.mixed(docs).collect():
+        for d in r._mix.draws:
+            words[d.shard] = words.get(d.shard, 0) + d.words
+    assert words == {k: sum(len(t.split()) for _, t in rows) for k, rows in shards.items()}
