@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barline.llm import licenses, mixing
+from barline.llm import decontamination, licenses, mixing
 from barline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,13 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGIN
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+@query
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from barline.llm import decontamination
+
+    return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLE["op11_decontamination"] = decontamination.SQL
