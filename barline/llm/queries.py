@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barline.llm import decontamination, licenses, mixing
+from barline.llm import decontamination, licenses, mixing, phrases
 from barline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,11 @@ def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE["op11_decontamination"] = decontamination.SQL
+
+
+@query
+def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+ORACLE["op12_phrases"] = phrases.SQL
