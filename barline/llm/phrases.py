@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from barline.llm.common import WordHashes, map_rows, mix, stored
@@ -95,12 +97,11 @@ def counted(words: list[bytes], langs: list[str], lengths: list[int], noted: np.
         yield 0, -1, b"", int(known), 0
 
 
-def scanned(rows: DataFrame, noted: np.ndarray, scan: int, cycle: int, longest: int) -> DataFrame:
-    """Counts of one shard, a row for each phrase and run of ``STEP_WORDS``."""
-    shared = rows.sparkSession.sparkContext.broadcast(noted)
+def scanned(rows: DataFrame, shared: Broadcast, scan: int, cycle: int, longest: int) -> DataFrame:
+    """Counts of one shard, a row for each phrase and run of ``STEP_WORDS``; ``shared`` holds the packed slots."""
 
-    def count(words, langs, lengths):
-        out = list(counted(words, langs, lengths, shared.value, scan, cycle, longest))
+    def count(words, langs, lengths, noted):
+        out = list(counted(words, langs, lengths, noted, scan, cycle, longest))
         lang, size, phrase, since, n = zip(*out) if out else ((),) * 5
         names = pa.array(langs, pa.string()).take(pa.array(lang, pa.int32()))
         return pa.RecordBatch.from_arrays(
@@ -110,6 +111,7 @@ def scanned(rows: DataFrame, noted: np.ndarray, scan: int, cycle: int, longest:
 
     def run(batches):
         words, langs, lengths = [], [], []
+        noted = np.frombuffer(zstandard.ZstdDecompressor().decompress(shared.value), np.uint8)
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
                 own = tokens(text.as_py())
@@ -117,10 +119,10 @@ def scanned(rows: DataFrame, noted: np.ndarray, scan: int, cycle: int, longest:
                 langs.append(lang)
                 lengths.append(len(own))
                 if len(words) >= STEP_WORDS:
-                    yield count(words, langs, lengths)
+                    yield count(words, langs, lengths, noted)
                     words, langs, lengths = [], [], []
         if words:
-            yield count(words, langs, lengths)
+            yield count(words, langs, lengths, noted)
 
     return rows.select("lang", "text").mapInArrow(run, COUNTED)
 
@@ -159,12 +161,14 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards
     pending, complete = None, []
     scan = last = 0
     while scan < last + shards:
-        found = scanned(rows.filter(F.col("_shard") == scan % shards), noted, scan, shards, longest)
+        shared = docs.sparkSession.sparkContext.broadcast(zstandard.ZstdCompressor().compress(noted.tobytes()))
+        found = scanned(rows.filter(F.col("_shard") == scan % shards), shared, scan, shards, longest)
         if pending is not None:
             found = found.unionByName(pending)
         total = found.groupBy("lang", "size", "phrase", "since").agg(F.sum("n").alias("n"))
         unfinished = F.col("since") > scan - shards + 1
         counts = stored(total.filter(unfinished | (F.col("n") >= least) | (F.col("size") == 0)), "phrase-counts")
+        shared.destroy()
         complete.append(counts.filter(~unfinished).drop("since"))
         pending = counts.filter(unfinished)
         new = newly(counts.filter((F.col("n") >= least) & F.col("size").between(1, longest - 1)), noted)
