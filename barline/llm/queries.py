@@ -125,3 +125,13 @@ def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE["op12_phrases"] = phrases.SQL
+
+
+@query
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers as given
+
+    from barline.llm import alignment
+
+    paths = given.path("byte_bpe_50k.json"), given.path("piece_bpe_32k.model")
+    return alignment.alignment(table(spark, folder, "documents"), *paths, given.PATTERN).drop("links")
