@@ -22,6 +22,8 @@ from barline.llm.common import map_rows, stored
 
 #: Most id pairs that are sent to all tasks at once; more are sent in parts, by the id of the first vocabulary.
 SENT_PAIRS = 2_000_000
+#: Links of a group up to which its tokens are joined as they stand.
+DIRECT_LINKS = 64
 #: Rows whose links are counted at a time.
 COUNT_ROWS = 2_000
 
@@ -29,7 +31,7 @@ LINKED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_s
 
 
 class Side:
-    """A tokenizer: ``encode`` gives lists of ids, ``bytes`` the bytes of each id, ``sizes`` their number."""
+    """A tokenizer: ``encode`` gives lists of ids, ``bytes`` the bytes of each id, ``sizes`` their number, at least one."""
 
     def __init__(self, encode, strings: list[bytes]):
         self.encode = encode
@@ -78,12 +80,11 @@ def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return pc.list_flatten(a).to_numpy(), pc.list_parent_indices(a).to_numpy()
 
 
-def faithful(side: Side, lists: list[list[int]], raw: list[bytes]) -> list[bool]:
-    """Whether the bytes of each list are those of its text."""
-    ids, parents = flat(lists)
+def faithful(side: Side, ids: np.ndarray, parents: np.ndarray, raw: list[bytes]) -> np.ndarray:
+    """Whether the tokens' bytes are those of each text."""
     sizes = np.bincount(parents, weights=side.sizes[ids], minlength=len(raw)).astype(np.int64)
     ends, all_bytes = np.cumsum(sizes), joined(side, ids)
-    return [n == len(r) and all_bytes[e - n : e] == r for n, e, r in zip(sizes.tolist(), ends.tolist(), raw)]
+    return np.array([n == len(r) and all_bytes[e - n : e] == r for n, e, r in zip(sizes.tolist(), ends.tolist(), raw)], bool)
 
 
 def numbered(table: pa.Table, *keys: str) -> pa.Table:
@@ -118,30 +119,35 @@ def align(ids: list, texts: list[str | None], a: Side, b: Side) -> pa.RecordBatc
     """One row of ``LINKED`` for each text."""
     texts = [t or "" for t in texts]
     raw = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-    of_a, of_b = ([x if t else [] for x, t in zip(side.encode(texts), texts)] for side in (a, b))
-    whole = [x and y for x, y in zip(faithful(a, of_a, raw), faithful(b, of_b, raw))]
-    of_a, of_b = ([x if w else [] for x, w in zip(lists, whole)] for lists in (of_a, of_b))
+    (ids_a, doc_a), (ids_b, doc_b) = (flat([x if t else [] for x, t in zip(side.encode(texts), texts)]) for side in (a, b))
+    whole = faithful(a, ids_a, doc_a, raw) & faithful(b, ids_b, doc_b, raw)
+    ids_a, doc_a, ids_b, doc_b = ids_a[whole[doc_a]], doc_a[whole[doc_a]], ids_b[whole[doc_b]], doc_b[whole[doc_b]]
 
     n = len(texts)
-    (ids_a, doc_a), (ids_b, doc_b) = flat(of_a), flat(of_b)
     # Ends within the document: running sums less what stood before the document. Texts here have the same bytes on both sides.
     base = np.concatenate([[0], np.cumsum([len(r) if w else 0 for r, w in zip(raw, whole)])])
     end_a, end_b = np.cumsum(a.sizes[ids_a]) - base[doc_a], np.cumsum(b.sizes[ids_b]) - base[doc_b]
     ends_a, ends_b = (pa.table({"doc": d, "end": e}) for d, e in ((doc_a, end_a), (doc_b, end_b)))
-    # A token of no bytes would repeat an end.
-    shared = numbered(ends_a, "doc", "end").join(numbered(ends_b, "doc", "end"), ["doc", "end"], join_type="inner", right_suffix="_b", use_threads=False)
+    shared = ends_a.join(ends_b, ["doc", "end"], join_type="inner", use_threads=False)
     cut_doc = shared.column("doc").to_numpy()
     cuts = np.sort(base[cut_doc] + shared.column("end").to_numpy())
     group_a, group_b = np.searchsorted(cuts, base[doc_a] + end_a), np.searchsorted(cuts, base[doc_b] + end_b)
 
-    # Ids that repeat within a group are linked as often as their numbers multiply: never all occurrences with all.
-    left = numbered(pa.table({"group": group_a, "doc": doc_a, "a": ids_a}), "group", "doc", "a")
-    right = numbered(pa.table({"group": group_b, "b": ids_b}), "group", "b")
-    links = left.join(right, "group", join_type="inner", right_suffix="_b", use_threads=False)
-    times = pc.multiply(links.column("count_all"), links.column("count_all_b"))
-    links = pa.table({"doc": links.column("doc"), "a": links.column("a"), "b": links.column("b"), "n": times})
-    links = links.group_by(["doc", "a", "b"], use_threads=False).aggregate([("n", "sum")])
-    doc = links.column("doc").to_numpy()
+    # In a group of many tokens, ids that repeat are linked as often as their numbers multiply, not occurrence by occurrence.
+    many = np.bincount(group_a, minlength=len(cuts)) * np.bincount(group_b, minlength=len(cuts)) > DIRECT_LINKS
+    left, right = pa.table({"group": group_a, "doc": doc_a, "a": ids_a}), pa.table({"group": group_b, "b": ids_b})
+    pairs = [left.filter(pa.array(~many[group_a])).join(right.filter(pa.array(~many[group_b])), "group", join_type="inner", use_threads=False)]
+    pairs[0] = pairs[0].append_column("n", pa.array(np.ones(len(pairs[0]), np.int64)))
+    if many.any():
+        left, right = numbered(left.filter(pa.array(many[group_a])), "group", "doc", "a"), numbered(right.filter(pa.array(many[group_b])), "group", "b")
+        found = left.join(right, "group", join_type="inner", right_suffix="_b", use_threads=False)
+        pairs.append(found.append_column("n", pc.multiply(found.column("count_all"), found.column("count_all_b"))))
+    links = pa.concat_tables([x.select(["doc", "a", "b", "n"]) for x in pairs])
+    code = (links.column("doc").to_numpy() * len(a.sizes) + links.column("a").to_numpy()) * len(b.sizes) + links.column("b").to_numpy()
+    links = pa.table({"code": code, "n": links.column("n")}).group_by("code", use_threads=False).aggregate([("n", "sum")])
+    code = links.column("code").to_numpy()
+    doc, pair = np.divmod(code, len(a.sizes) * len(b.sizes))
+    links = links.append_column("a", pa.array(pair // len(b.sizes))).append_column("b", pa.array(pair % len(b.sizes)))
     order = np.argsort(doc, kind="stable")
     offsets = np.searchsorted(doc[order], np.arange(n + 1)).astype(np.int32)
     cols = [links.column(c).combine_chunks().take(pa.array(order)) for c in ("a", "b", "n_sum")]
