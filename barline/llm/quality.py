@@ -1,9 +1,10 @@
 """Quality rules: base counts, and a hashed n-gram likelihood ratio between trusted and raw text.
 
-Words and pairs of neighbouring words are hashed into buckets. Two multinomials over the buckets are counted, one over
-the documents marked as trusted and one over all; a document's score is the mean log ratio of its n-grams, and every
-document at or above the threshold passes. The number of buckets follows the distinct n-grams of the input, and their
-ratios are joined by bucket, so that no table has to fit a task. All of it is DataFrame expressions.
+Words and pairs of neighbouring words are hashed into the buckets of two tables of fixed width, one for each. Two
+multinomials over the buckets are counted from every n-gram of the corpus, one over the documents marked as trusted and
+one over all; a document's score is the mean log ratio of its n-grams, and every document at or above the threshold
+passes. Counts are combined before they are dealt, and the ratios of all buckets are one row of 16 MB, whatever the
+input, in which each text looks its n-grams up: no row per n-gram ever leaves a task. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from barline.llm.common import WHITE, stored
 
-#: Least buckets of the hashed n-grams, and most distinct n-grams a bucket: larger inputs get more buckets.
-BUCKETS, BUCKET_LOAD = 1 << 16, 2
+#: Buckets of the words, and as many of the pairs; and the buckets that are gathered into one row at a time.
+BUCKETS, BLOCK = 1 << 20, 1 << 12
+#: Most trusted ids that are sent to all tasks; more are joined by id.
+SENT_IDS = 2_000_000
 #: Ratios are summed as whole multiples of one part in so many: exact in any order of rows.
 PARTS = 1 << 32
 #: Added to each bucket's raw count, and in proportion of their sizes to its trusted count: rare n-grams weigh little.
@@ -39,19 +42,11 @@ def with_words(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).drop("_w")
 
 
-def ngrams(h: str) -> Column:
-    """Hashes of the words, then of each word with the next; the last word is paired with the end."""
-    return F.concat(F.col(h), F.transform(h, lambda x, i: F.xxhash64(F.lit(2), x, F.get(h, i + 1))))
-
-
-def grams_of(docs: DataFrame, *keep: Column) -> DataFrame:
-    return with_words(docs).select(*keep, F.explode(ngrams("_h")).alias("_gram"))
-
-
-def bucket_count(docs: DataFrame) -> int:
-    """A power of two, from ``BUCKETS`` on, that leaves about ``BUCKET_LOAD`` distinct n-grams or fewer to a bucket."""
-    distinct = grams_of(docs.select("text")).agg(F.approx_count_distinct("_gram")).first()[0]
-    return max(BUCKETS, 1 << max(0, -(-distinct // BUCKET_LOAD) - 1).bit_length())
+def buckets(h: str) -> Column:
+    """The buckets of the words, then of each word with the next; the last word is paired with the end."""
+    word = lambda x: F.pmod(x, F.lit(BUCKETS))
+    pair = lambda x, i: F.pmod(F.xxhash64(F.lit(2), x, F.get(h, i + 1)), F.lit(BUCKETS)) + BUCKETS
+    return F.concat(F.transform(h, word), F.transform(h, pair))
 
 
 def repeated_words(h: str, n: str) -> Column:
@@ -94,49 +89,49 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_base_failed", failed)
 
 
-def ratios(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
-    """(bucket, llr) of the buckets in use: the log ratio of trusted against all documents, both smoothed, in ``PARTS``.
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of the documents that a label marks with a quality of 1, each once."""
+    ids = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    few = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
+    return F.broadcast(ids) if few else ids
+
+
+def ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row with ``llr``, the log ratio of every bucket: trusted against all documents, both smoothed, in ``PARTS``.
 
     Labels with a quality of 1 mark trusted documents; a document that is labelled twice is trusted if one label says so.
     Without any trusted text all ratios are zero and the base counts alone decide.
     """
-    trusted = labels.groupBy("doc_id").agg((F.max("quality") == 1).alias("_trusted")).filter("_trusted")
+    trusted = trusted_ids(labels).withColumn("_trusted", F.lit(1).cast("long"))
     marked = docs.select("doc_id", "text").join(trusted, "doc_id", "left")
-    grams = grams_of(marked, F.coalesce("_trusted", F.lit(False)).cast("long").alias("_in"))
-    grams = grams.select("_in", F.pmod("_gram", F.lit(size)).alias("bucket"))
+    grams = with_words(marked).select(F.coalesce("_trusted", F.lit(0).cast("long")).alias("_in"), F.explode(buckets("_h")).alias("bucket"))
     counts = stored(grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("_in").alias("own")), "quality-buckets")
-    own, raw = counts.agg(F.sum("own"), F.sum("raw")).first()
-    if not own:
-        return counts.select("bucket", F.lit(0).cast("long").alias("llr"))
-    share = own / raw
+    own, raw = counts.agg(F.coalesce(F.sum("own"), F.lit(0)), F.coalesce(F.sum("raw"), F.lit(0))).first()
+    share = own / raw if own else 1.0
     ratio = F.log((F.col("own") + SMOOTHING * share) / (share * (F.col("raw") + SMOOTHING)))
-    return counts.select("bucket", F.round(ratio * PARTS).cast("long").alias("llr"))
-
-
-def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(_text, _score): the mean ratio by the fingerprint of each text with words.
-
-    Copies of a text have one mean; it is the mean of all their n-grams together.
-    """
-    size = bucket_count(docs)
-    grams = grams_of(docs.select("text"), fingerprint(F.col("_t")).alias("_text"))
-    grams = grams.select("_text", F.pmod("_gram", F.lit(size)).alias("bucket"))
-    return grams.join(ratios(docs, labels, size), "bucket").groupBy("_text").agg((F.sum("llr") / F.count(F.lit(1)) / PARTS).alias("_score"))
+    llr = F.round(ratio * PARTS).cast("long") if own else F.lit(0).cast("long")
+    every = docs.sparkSession.range(2 * BUCKETS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left").na.fill(0)
 
+    def ordered(key: str, value: str) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])
 
-def fingerprint(text: Column) -> Column:
-    return F.xxhash64(F.lit(3), text)
+    blocks = every.select("bucket", (F.col("bucket") / BLOCK).cast("long").alias("block"), llr.alias("llr"))
+    blocks = blocks.groupBy("block").agg(ordered("bucket", "llr").alias("part"))
+    return blocks.agg(F.flatten(ordered("block", "part")).alias("llr"))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with the struct ``_quality``: n_words, the base counts, base_failed, score, kept.
 
     A null text is an empty one, has no words and fails; its score is null. Every row is judged by its own text, so
-    repeated rows get equal verdicts. Labels of unknown documents and null ids have no effect.
+    repeated rows get equal verdicts. Labels of unknown documents and null ids have no effect. A column ``_quality`` of
+    ``docs`` is replaced.
     """
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text")
-    rows = given.withColumn("_text", fingerprint(F.coalesce("text", F.lit("")))).join(scores(docs, labels), "_text", "left")
-    rows = base_counts(with_words(rows))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "_quality"])
+    rows = base_counts(with_words(docs.select(row.alias("_doc"), "text"))).withColumn("_b", buckets("_h"))
+    rows = rows.withColumn("_llr", ratios(docs, labels).scalar())
+    total = F.aggregate("_b", F.lit(0).cast("long"), lambda acc, b: acc + F.get("_llr", b.cast("int")))
+    rows = rows.withColumn("_score", F.when(F.size("_b") > 0, total / F.size("_b") / PARTS))
     kept = ~F.col("_base_failed") & F.coalesce(F.col("_score") >= THRESHOLD, F.lit(False))
     fields = {"_n": "n_words"} | {f"_{c}": c for c in ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score")}
     made = F.struct(*[F.col(a).alias(b) for a, b in fields.items()], kept.alias("kept"))

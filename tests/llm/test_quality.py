@@ -3,7 +3,9 @@ import random
 import struct
 from collections import Counter
 
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from barline.llm import quality
 
@@ -27,7 +29,7 @@ def brute(rows, trusted, threshold):
     for _, text in rows:
         h = [h64(w) for w in split(text or "")]
         pairs = [h64((2,), a, *([h[i + 1]] if i + 1 < len(h) else [])) for i, a in enumerate(h)]
-        grams.append([x % quality.BUCKETS for x in h + pairs])
+        grams.append([x % quality.BUCKETS for x in h] + [quality.BUCKETS + x % quality.BUCKETS for x in pairs])
     raw, own = Counter(), Counter()
     for (i, _), g in zip(rows, grams):
         raw.update(g)
@@ -91,17 +93,22 @@ def test_without_trusted_documents_and_empty(spark):
     check(spark, [], [(1, 1)])
 
 
-def test_buckets_grow_with_the_input(spark):
-    from pyspark.sql import functions as F
+def test_more_trusted_ids_than_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SENT_IDS", 3)
+    check(spark, corpus(), [(i, 1 if i % 3 else 0) for i in range(80)])
 
-    def labelled_junk(folder):
-        docs, labels = (spark.read.parquet(f"/root/testdata/{folder}/{t}.parquet") for t in ("documents", "labels"))
-        got = quality.judged(docs.select("doc_id", "text"), labels).filter("not _quality.base_failed").join(labels, "doc_id")
-        kept = F.avg(F.col("_quality.kept").cast("int"))
-        return quality.bucket_count(docs), got.groupBy("quality").agg(kept.alias("kept")).collect()
 
-    small, _ = labelled_junk("sf0.001")
-    large, rates = labelled_junk("sf0.1")
-    assert small == quality.BUCKETS and large >= 16 * small
-    rates = {r.quality: r.kept for r in rates}
-    assert rates[1] == 1 and rates[0] < 0.02
+def test_long_text_and_a_column_of_the_verdicts_name(spark):
+    rows = [(1, " ".join(f"w{i % 9000}" for i in range(20_000))), (2, "plain words " * 4)]
+    check(spark, rows, [(1, 1)])
+    df = spark.createDataFrame([(1, "a b", 5)], "doc_id long, text string, _quality int")
+    assert quality.judged(df, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).first()._quality.n_words == 2
+
+
+@pytest.mark.parametrize("folder,times", [("sf0.01", 1), ("sf0.01", 10), ("sf0.1", 1)])
+def test_labelled_junk_goes_and_clean_text_stays(spark, folder, times):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{folder}/{t}.parquet") for t in ("documents", "labels"))
+    many = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("copy"))
+    got = quality.judged(many, labels).filter("not _quality.base_failed").join(labels, "doc_id")
+    rates = {r.quality: r.kept for r in got.groupBy("quality").agg(F.avg(F.col("_quality.kept").cast("int")).alias("kept")).collect()}
+    assert rates[1] == 1 and rates[0] < (0.02 if folder == "sf0.1" else 0.08)
