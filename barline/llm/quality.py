@@ -129,9 +129,10 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "_quality"])
     rows = base_counts(with_words(docs.select(row.alias("_doc"), "text"))).withColumn("_b", buckets("_h"))
-    llr = ratios(docs, labels).scalar()  # not a column: a projection would copy it into every row
-    total = F.aggregate("_b", F.lit(0).cast("long"), lambda acc, b: acc + F.get(llr, b.cast("int")))
-    rows = rows.withColumn("_score", F.when(F.size("_b") > 0, total / F.size("_b") / PARTS))
+    # Buckets and table are used once, so that both become part of the score: as columns they would be copied for each row.
+    rows = rows.withColumn("_llr", ratios(docs, labels).scalar())
+    total = F.aggregate("_b", F.lit(0).cast("long"), lambda acc, b: acc + F.get("_llr", b.cast("int")))
+    rows = rows.withColumn("_score", F.when(F.col("_n") > 0, total / (2 * F.col("_n")) / PARTS))
     kept = ~F.col("_base_failed") & F.coalesce(F.col("_score") >= THRESHOLD, F.lit(False))
     fields = {"_n": "n_words"} | {f"_{c}": c for c in ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score")}
     made = F.struct(*[F.col(a).alias(b) for a, b in fields.items()], kept.alias("kept"))
