@@ -28,79 +28,92 @@ def _first(rows: Column) -> Column:
     return F.get(rows, F.lit(0))
 
 
-def first_exit(bars: DataFrame, trades: DataFrame, interval_seconds: int = 3600) -> DataFrame:
-    """JOIN-09 / TRD-02: the first later bar whose close reaches stop or target, over the whole period.
+def _levels(bars: DataFrame, first: int, last: int, interval_seconds: int) -> list[DataFrame]:
+    """Level by level (symbol, n, children, lo, hi, end): up to 32 children each, until one node spans the period.
 
-    A calendar tree instead of entry x bar pairs: bars are packed into blocks of
-    32, blocks into spans of 32 blocks, each with its lowest and highest close.
-    An entry looks in its own block, then its span, then the later spans, and
-    walks down to the first bar that crosses. Every step is an equi-join with at
-    most one match, so no step multiplies rows. Bars must be unique per
-    (symbol, ts) on the interval, which bounds every array.
+    A node is numbered by the calendar from the first bar on. The children of the lowest level are bars, numbered by their
+    second; ``end`` is the last bar below the node.
     """
-    w1 = interval_seconds * FANOUT
-    sec = F.unix_seconds("ts")
-    base = bars.select("symbol", sec.alias("e"), "close").withColumn("b1", F.floor(F.col("e") / w1))
-    blocks = base.groupBy("symbol", "b1").agg(
-        F.array_sort(F.collect_list(F.struct("e", "close"))).alias("bars"),
-        F.min("close").alias("lo"),
-        F.max("close").alias("hi"),
-    )
-    spans = (
-        blocks.withColumn("b2", F.floor(F.col("b1") / FANOUT))
-        .groupBy("symbol", "b2")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("b1", "lo", "hi"))).alias("blocks"),
+    rows = bars.select("symbol", F.unix_seconds("ts").alias("n"), F.col("close").alias("lo"), F.col("close").alias("hi"))
+    rows = rows.withColumn("end", F.struct("n", F.col("lo").alias("close")))
+    width, levels = interval_seconds * FANOUT, []
+    while True:
+        number = F.floor((F.col("n") - first) / width) if not levels else F.floor(F.col("n") / FANOUT)
+        rows = rows.withColumn("_up", number).groupBy("symbol", F.col("_up").alias("n")).agg(
+            F.array_sort(F.collect_list(F.struct("n", "lo", "hi"))).alias("children"),
             F.min("lo").alias("lo"),
             F.max("hi").alias("hi"),
+            F.max("end").alias("end"),
         )
-    )
-    tops = spans.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("b2", "lo", "hi"))).alias("spans"))
-    ends = base.groupBy("symbol").agg(F.max("e").alias("end_e"), F.max_by("close", "e").alias("end_close"))
+        levels.append(rows)
+        if first + width > last:
+            return levels
+        width *= FANOUT
 
-    def crosses(low: Column, high: Column) -> Column:
-        return (low <= F.col("_low")) | (high >= F.col("_high"))
 
-    # Keys that must not match spread over many values instead of one null.
-    nowhere = F.lit(-(10**12)) - F.pmod(F.col("e"), F.lit(4096))
+def first_exit(bars: DataFrame, trades: DataFrame, interval_seconds: int = 3600) -> DataFrame:
+    """JOIN-09 / TRD-02: the first later bar whose close reaches stop or target, over the whole period.
+
+    A search tree instead of entry x bar pairs. Its height follows the period, its nodes hold at most 32 children with
+    their lowest and highest close and are keyed by (symbol, calendar number), so no array and no key grows with the
+    history. Climbing takes one join: the later siblings on the way up are put together once for each lowest block that
+    has entries, and an entry reads them by its own block. Descending to the bar takes one join a level with at most one
+    match. Many entries that leave at the same bar share a key there; such partitions are split by adaptive execution.
+
+    Bars must be unique per (symbol, ts) on the interval. Entries may lie outside the period of the bars.
+    """
+    span = bars.agg(F.unix_seconds(F.min("ts")).alias("a"), F.unix_seconds(F.max("ts")).alias("b")).first()
+    first, last = (span.a, span.b) if span.a is not None else (0, 0)
+    levels = _levels(bars, first, last, interval_seconds)
+
+    def crosses(r: Column) -> Column:
+        return (r["lo"] <= F.col("_low")) | (r["hi"] >= F.col("_high"))
+
+    def hit(children: str, level: int, after: Column | None) -> Column:
+        """The first child that crosses, as (level, n, close)."""
+        later = F.filter(children, lambda r: crosses(r) if after is None else (r["n"] > after) & crosses(r))
+        return _first(F.transform(later, lambda r: F.struct(F.lit(level).alias("level"), r["n"].alias("n"), r["lo"].alias("close"))))
+
+    inside = F.least(F.greatest(F.col("_e"), F.lit(first)), F.lit(last))
     d = trades.withColumns(
         {
-            "e": sec,
+            "_e": F.unix_seconds("ts"),
             "_low": F.least("stop_price", "target_price"),
             "_high": F.greatest("stop_price", "target_price"),
         }
-    ).withColumn("b1", F.floor(F.col("e") / w1))
-    d = d.withColumn("b2", F.floor(F.col("b1") / FANOUT))
-    d = d.join(blocks.select("symbol", "b1", "bars"), ["symbol", "b1"], "left").withColumn(
-        "_exit", _first(F.filter("bars", lambda r: (r["e"] > F.col("e")) & crosses(r["close"], r["close"])))
-    ).drop("bars")
-    d = d.withColumn("_k2", F.when(F.col("_exit").isNull(), F.col("b2")).otherwise(nowhere))
-    d = d.join(spans.select("symbol", F.col("b2").alias("_k2"), "blocks"), ["symbol", "_k2"], "left").withColumn(
-        "_b1", _first(F.filter("blocks", lambda r: (r["b1"] > F.col("b1")) & crosses(r["lo"], r["hi"])))["b1"]
-    ).drop("blocks", "_k2")
-    d = d.join(tops, "symbol", "left").withColumn(
-        "_b2",
-        F.when(
-            F.col("_exit").isNull() & F.col("_b1").isNull(),
-            _first(F.filter("spans", lambda r: (r["b2"] > F.col("b2")) & crosses(r["lo"], r["hi"])))["b2"],
-        ),
-    ).drop("spans")
-    d = d.withColumn("_k2", F.coalesce("_b2", nowhere))
-    d = d.join(spans.select("symbol", F.col("b2").alias("_k2"), "blocks"), ["symbol", "_k2"], "left").withColumn(
-        "_b1", F.coalesce("_b1", _first(F.filter("blocks", lambda r: crosses(r["lo"], r["hi"])))["b1"])
-    ).drop("blocks", "_k2")
-    d = d.withColumn("_k1", F.coalesce("_b1", nowhere))
-    d = d.join(blocks.select("symbol", F.col("b1").alias("_k1"), "bars"), ["symbol", "_k1"], "left").withColumn(
-        "_exit", F.coalesce("_exit", _first(F.filter("bars", lambda r: crosses(r["close"], r["close"]))))
-    ).drop("bars", "_k1")
-    d = d.join(ends, "symbol", "left")
-    close = F.col("_exit.close")
+    ).withColumn("_block", F.floor((inside - first) / (interval_seconds * FANOUT)))
+
+    def ancestor(level: int) -> Column:
+        return F.floor(F.col("_block") / FANOUT ** (level - 1))
+
+    def later(children: str, number: Column) -> Column:
+        return F.filter(children, lambda r: r["n"] > number)
+
+    path = d.select("symbol", "_block").distinct()
+    for k, nodes in enumerate(levels, 1):
+        node = nodes.select("symbol", F.col("n").alias("_n"), F.col("children").alias(f"_c{k}"), *(["end"] if k == len(levels) else []))
+        path = path.withColumn("_n", ancestor(k)).join(node, ["symbol", "_n"], "left").drop("_n")
+        if k > 1:
+            path = path.withColumn(f"_c{k}", later(f"_c{k}", ancestor(k - 1)))
+    path = path.withColumnRenamed("end", "_end")
+    d = d.join(path, ["symbol", "_block"], "left")
+    up = [hit("_c1", 1, F.col("_e")), *(hit(f"_c{k}", k, None) for k in range(2, len(levels) + 1))]
+    d = d.withColumn("_at", F.coalesce(*up)).drop("_block", *(f"_c{k}" for k in range(1, len(levels) + 1)))
+
+    # Keys that must not match spread over many values instead of one null.
+    nowhere = F.lit(-(10**12)) - F.pmod(F.col("_e"), F.lit(4096))
+    for k in range(len(levels) - 1, 0, -1):
+        here = F.coalesce(F.col("_at.level") == k + 1, F.lit(False))
+        node = levels[k - 1].select("symbol", F.col("n").alias("_n"), F.col("children").alias("_c"))
+        d = d.withColumn("_n", F.when(here, F.col("_at.n")).otherwise(nowhere)).join(node, ["symbol", "_n"], "left")
+        d = d.withColumn("_at", F.when(here, hit("_c", k, None)).otherwise(F.col("_at"))).drop("_c", "_n")
+    close = F.col("_at.close")
     at_stop = F.when(F.col("side") > 0, close <= F.col("stop_price")).otherwise(close >= F.col("stop_price"))
     return d.select(
         *trades.columns,
-        F.timestamp_seconds(F.coalesce("_exit.e", "end_e")).alias("exit_ts"),
-        F.coalesce(close, F.col("end_close")).alias("exit_price"),
-        F.when(F.col("_exit").isNull(), "END_OF_PERIOD")
+        F.timestamp_seconds(F.coalesce("_at.n", "_end.n")).alias("exit_ts"),
+        F.coalesce(close, F.col("_end.close")).alias("exit_price"),
+        F.when(F.col("_at").isNull(), "END_OF_PERIOD")
         .when(at_stop, "STOP_LOSS")
         .otherwise("TAKE_PROFIT")
         .alias("exit_reason"),
