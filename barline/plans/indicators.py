@@ -15,18 +15,21 @@ def batch(bars: DataFrame, names: list[str], series: Series = BARS, bounded: boo
     spans = {n: int(n.split("_")[1]) for n in names if n.startswith("ema_")}
     sizes = {n: int(n.split("_")[1]) for n in names if n.startswith("sma_")}
 
-    def build(d: DataFrame, scan: rec.Scan) -> DataFrame:
-        s = scan.series
-        d = d.withColumns({k: scan.ema("close", n, adjust=False) for k, n in spans.items()})
+    def before(d: DataFrame, s: Series) -> DataFrame:
         d = d.withColumns({k: w.sma_partial("close", n, s) for k, n in sizes.items()})
         return w.with_rsi(d, "partial", s=s) if "rsi" in names else d
 
     decays = [rec.ema_decay(n) for n in spans.values()] or [0.5]
-    return rec.recur(bars, build, decays, lookback=max([15, *sizes.values()]), series=series, bounded=bounded)
+    return rec.recur(
+        bars, lambda d, scan: scan.means(d, "close", spans, adjust=False), decays, before, max([15, *sizes.values()]), series, bounded
+    )
 
 
-def _hourly_columns(d: DataFrame, scan: rec.Scan) -> DataFrame:
-    s = scan.series
+def _adjusted_macd(d: DataFrame, scan: rec.Scan) -> DataFrame:
+    return rec.macd_columns(d, scan, "close", adjust=True).drop("ema12", "ema26")
+
+
+def _hourly_columns(d: DataFrame, s: Series) -> DataFrame:
     d = d.withColumns(
         {
             "return_1h": w.change("close", 1, s),
@@ -37,7 +40,6 @@ def _hourly_columns(d: DataFrame, scan: rec.Scan) -> DataFrame:
         {"volatility_24h": w.volatility("return_1h", 24, s), "volatility_7d": w.volatility("return_1h", 168, s)}
     )
     d = w.with_rsi(d, "strict_eps", s=s, out="rsi_14")
-    d = rec.macd_columns(d, scan, "close", adjust=True).drop("ema12", "ema26")
     mid, sd, p = w.sma("close", 20, s), w.volatility("close", 20, s), F.col("close")
     d = d.withColumns({"_mid": mid, "_sd": sd}).withColumns(
         {
@@ -52,26 +54,24 @@ def _hourly_columns(d: DataFrame, scan: rec.Scan) -> DataFrame:
 
 def hourly_features(bars: DataFrame, series: Series = BARS, bounded: bool = True) -> DataFrame:
     """WIN-28, training form: returns, volatility, RSI, MACD, bands, ATR, trend stand-in, hour."""
-    return rec.recur(
-        bars, _hourly_columns, rec.MACD_DECAYS, chained=2, lookback=170, series=series, bounded=bounded
-    )
+    return rec.recur(bars, _adjusted_macd, rec.MACD_DECAYS, _hourly_columns, 170, series, bounded)
 
 
 def standard_features(bars: DataFrame, series: Series = BARS, bounded: bool = True) -> DataFrame:
     """WIN-28, general form: means, adjusted EMA and MACD, strict RSI, bands, volume, rate of change, volatility."""
 
-    def build(d: DataFrame, scan: rec.Scan) -> DataFrame:
-        s = scan.series
+    def before(d: DataFrame, s: Series) -> DataFrame:
         d = d.withColumns({f"sma_{n}": w.sma("close", n, s) for n in (20, 50, 200)})
-        d = rec.macd_columns(d, scan, "close", adjust=True)
-        d = d.withColumnsRenamed({"ema12": "ema_12", "ema26": "ema_26"})
         d = w.with_rsi(d, "strict", s=s)
         d = d.withColumns(w.bollinger(s=s))
         d = d.withColumns({k: v for k, v in w.volume_features(s).items() if k in ("volume_sma", "volume_ratio")})
         d = d.withColumns({"roc": w.roc("close", 10, s), "_ret": w.change("close", 1, s)})
         return d.withColumn("volatility", w.volatility("_ret", 20, s)).drop("_ret")
 
-    return rec.recur(bars, build, rec.MACD_DECAYS, chained=2, lookback=201, series=series, bounded=bounded)
+    def build(d: DataFrame, scan: rec.Scan) -> DataFrame:
+        return rec.macd_columns(d, scan, "close", adjust=True).withColumnsRenamed({"ema12": "ema_12", "ema26": "ema_26"})
+
+    return rec.recur(bars, build, rec.MACD_DECAYS, before, 201, series, bounded)
 
 
 def bot_features(bars: DataFrame, series: Series = BARS) -> DataFrame:
@@ -91,12 +91,10 @@ def bot_features(bars: DataFrame, series: Series = BARS) -> DataFrame:
 def compact_features(bars: DataFrame, series: Series = BARS, bounded: bool = True) -> DataFrame:
     """WIN-28, study form: returns, RSI, adjusted MACD, band width and position, ATR, volume, momentum."""
 
-    def build(d: DataFrame, scan: rec.Scan) -> DataFrame:
-        s = scan.series
+    def before(d: DataFrame, s: Series) -> DataFrame:
         d = d.withColumns({f"return_{k}": w.change("close", k, s) for k in (1, 5, 20)})
         d = d.withColumn("volatility", w.volatility("return_1", 20, s))
         d = w.with_rsi(d, "strict_eps", s=s)
-        d = rec.macd_columns(d, scan, "close", adjust=True).drop("ema12", "ema26")
         d = w.with_band_features(d, s=s).drop("bb_upper_dist", "bb_lower_dist")
         d = w.with_atr(d, 14, s, relative=True).drop("atr")
         d = d.withColumn("volume_ratio", F.col("volume") / (w.sma("volume", 20, s) + 1))
@@ -108,4 +106,4 @@ def compact_features(bars: DataFrame, series: Series = BARS, bounded: bool = Tru
             }
         )
 
-    return rec.recur(bars, build, rec.MACD_DECAYS, chained=2, lookback=60, series=series, bounded=bounded)
+    return rec.recur(bars, _adjusted_macd, rec.MACD_DECAYS, before, 60, series, bounded)
