@@ -29,6 +29,8 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 THRESHOLD = 0.8
+#: The threshold in whole numbers: a size bound in doubles would drop units that reach it exactly.
+TENTHS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -60,14 +62,18 @@ def scanned(docs: DataFrame) -> DataFrame:
     lines = F.split(t, "\n")
     units = F.when(F.size(lines) > 1, F.concat(lines, F.array(t))).otherwise(lines)
     sizes = [len(template_pairs(x)) for x in TEMPLATES.values()]
-    low, high = min(sizes) * THRESHOLD / (2 - THRESHOLD), max(sizes) * (2 - THRESHOLD) / THRESHOLD
+    # With p and t bigrams the coefficient is at most 2 min(p, t) / (p + t).
+    low, high = -(-TENTHS * min(sizes) // (20 - TENTHS)), (20 - TENTHS) * max(sizes) // TENTHS
     # A unit of n distinct bigrams has more than n words and may repeat some: only the lower bound holds for words.
     table = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, template_pairs(x))).alias("pairs")) for name, x in TEMPLATES.items()])
     wordy = F.filter(F.transform(units, normal_words), lambda w: F.size(w) > low)
     sets = F.filter(F.transform(wordy, bigrams), lambda p: (F.size(p) >= low) & (F.size(p) <= high))
 
     def against(p: Column) -> Column:
-        fitting = F.filter(table, lambda x: (F.size(x["pairs"]) >= F.size(p) * (THRESHOLD / (2 - THRESHOLD))) & (F.size(p) >= F.size(x["pairs"]) * (THRESHOLD / (2 - THRESHOLD))))
+        def fits(x: Column) -> Column:
+            return 20 * F.least(F.size(p), F.size(x["pairs"])) >= TENTHS * (F.size(p) + F.size(x["pairs"]))
+
+        fitting = F.filter(table, fits)
         scores = F.transform(
             fitting,
             lambda x: F.struct((F.lit(2.0) * F.size(F.array_intersect(p, x["pairs"])) / (F.size(p) + F.size(x["pairs"]))).alias("dice"), x["name"].alias("name")),

@@ -14,3 +14,17 @@ def test_same_as_sql(spark):
     assert [r[1] for r in got if r[0] == 1] == [None, "mit"] or [r[1] for r in got if r[0] == 1] == ["mit", None]
     assert sum(r[1] is not None for r in got) == 5
     assert licenses.scanned(df.limit(0)).collect() == []
+
+
+def test_units_at_the_threshold(spark):
+    units = []
+    for text in licenses.TEMPLATES.values():
+        words, t = text.split(), len(licenses.template_pairs(text))
+        units += [" ".join(words + [f"more{i}" for i in range(n)]) for n in range(t // 2 - 1, t // 2 + 2)]
+        units += [" ".join(words[:n]) for n in range(len(words) - t // 3 - 2, len(words) + 1)]
+    df = spark.createDataFrame(list(enumerate(units)), "doc_id long, text string")
+    got = sorted(map(tuple, licenses.scanned(df).collect()), key=repr)
+    con = duckdb.connect()
+    con.register("docs", df.toPandas())
+    assert got == sorted(con.execute(licenses.oracle("docs")).fetchall(), key=repr)
+    assert sum(r[2] == 0.8 for r in got) >= 4
