@@ -96,6 +96,71 @@ def grid_scores(
     )
 
 
+def cell_scores(rows: DataFrame, grid: DataFrame, train: int = 252, test: int = 63, step: int = 21) -> DataFrame:
+    """WFO-02: ``grid_scores`` of a threshold grid without a row per combination.
+
+    rows: (symbol, pos, low, high, ret), where a combination counts ``ret`` while ``low`` is at least its ``low`` and
+    ``high`` at most its ``high``; grid: (symbol, combo, low, high). The thresholds of a symbol cut both values into a few
+    steps; a row is counted once, in its cell of steps and its block of rows. Windows add up their blocks' cells, and a
+    combination reads the rectangle of cells that it covers.
+    """
+    if train % step or test % step:
+        raise ValueError("train and test must be multiples of step")
+    n_train, n_all = train // step, (train + test) // step
+    axes = grid.groupBy("symbol").agg(
+        F.collect_set("low").alias("_lows"),
+        F.collect_set("high").alias("_highs"),
+        F.collect_list(F.struct("combo", "low", "high")).alias("_combos"),
+    )
+
+    def below(values: str, x: Column, equal: bool) -> Column:
+        return F.size(F.filter(values, lambda v: (v <= x) if equal else (v < x)))
+
+    placed = rows.join(axes.select("symbol", "_lows", "_highs"), "symbol").select(
+        "symbol",
+        F.floor(F.col("pos") / step).alias("block"),
+        # A value that is missing lies in no rectangle.
+        F.when(F.col("low").isNull(), -1).otherwise(below("_lows", F.col("low"), True)).alias("i"),
+        F.when(F.col("high").isNull(), 1 << 30).otherwise(below("_highs", F.col("high"), False)).alias("j"),
+        "ret",
+    )
+    cells = placed.groupBy("symbol", "block", "i", "j").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("ret").alias("s"),
+        F.sum(F.col("ret") * F.col("ret")).alias("ss"),
+        F.sum((F.col("ret") > 0).cast("int")).alias("wins"),
+    )
+    first = F.greatest(F.lit(0), F.col("block") - (n_all - 1))
+    tagged = cells.withColumn("window_id", F.explode(F.sequence(first, F.col("block"))))
+    windows = walk_windows(rows.groupBy("symbol").agg((F.max("pos") + 1).alias("n")), train, test, step).select("symbol", "window_id")
+    role = F.when(F.col("block") - F.col("window_id") < n_train, "train").otherwise("test").alias("role")
+    sums = tagged.join(windows, ["symbol", "window_id"]).groupBy("symbol", "window_id", role, "i", "j")
+    sums = sums.agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss", "wins")])
+    sums = sums.groupBy("symbol", "window_id", "role").agg(
+        F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "j", "s", "ss", "wins"))).alias("_cells")
+    )
+    each = sums.join(axes, "symbol").withColumn("_c", F.explode("_combos"))
+    i, j = below("_lows", F.col("_c.low"), True), below("_highs", F.col("_c.high"), False)
+    each = each.withColumns({"_i": i, "_j": j})
+    each = each.withColumn("_in", F.filter("_cells", lambda x: (x["i"] >= F.col("_i")) & (x["j"] <= F.col("_j"))))
+
+    def total(name: str) -> Column:
+        return F.aggregate("_in", F.lit(0.0), lambda acc, x: acc + x[name])
+
+    each = each.withColumns({name: total(name) for name in ("s", "ss", "wins")})
+    mean = F.col("s") / F.col("n")
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - mean * mean))
+    return each.select(
+        "symbol",
+        F.col("_c.combo").alias("combo"),
+        "window_id",
+        "role",
+        F.when(sd > 1e-9, mean / sd * F.lit(252**0.5)).otherwise(0.0).alias("sharpe"),
+        F.col("s").alias("total_return"),
+        (F.col("wins") / F.col("n")).alias("win_rate"),
+    )
+
+
 def best_of(metrics: DataFrame, keys: list[str], score: str, combo: str) -> DataFrame:
     """WFO-02: highest score per key, the lowest combo number on ties."""
     rest = [c for c in metrics.columns if c not in keys]

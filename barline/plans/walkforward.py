@@ -31,16 +31,14 @@ def grid(bars: DataFrame) -> DataFrame:
     )
 
 
-def grid_returns(bars: DataFrame) -> DataFrame:
-    """Long while the close is below ``level`` and the volume at least ``size``: one return per row and combo."""
-    d = rows_with_returns(bars).join(grid(bars), "symbol")
-    active = (F.col("close") <= F.col("level")) & (F.col("volume") >= F.col("size"))
-    return d.withColumn("ret", F.when(active, F.col("step_return")).otherwise(0.0))
-
-
 def best_combos(bars: DataFrame) -> DataFrame:
-    """WFO-02: per window the best training combination with its training and test metrics."""
-    scores = sr.grid_scores(grid_returns(bars), TRAIN, TEST, STEP)
+    """WFO-02: per window the best training combination with its training and test metrics.
+
+    A combination is long while the close is below ``level`` and the volume at least ``size``.
+    """
+    combos = durable(grid(bars), "grid")
+    rows = rows_with_returns(bars).select("symbol", "pos", F.col("volume").alias("low"), F.col("close").alias("high"), F.col("step_return").alias("ret"))
+    scores = sr.cell_scores(rows, combos.select("symbol", "combo", F.col("size").alias("low"), F.col("level").alias("high")), TRAIN, TEST, STEP)
     both = scores.groupBy("symbol", "window_id", "combo").agg(
         *[
             F.max(F.when(F.col("role") == role, F.col(c))).alias(f"{name}_{short}")
@@ -48,7 +46,7 @@ def best_combos(bars: DataFrame) -> DataFrame:
             for c, short in (("sharpe", "sharpe"), ("total_return", "return"), ("win_rate", "win_rate"))
         ]
     )
-    return sr.best_of(both, ["symbol", "window_id"], "in_sharpe", "combo").join(grid(bars), ["symbol", "combo"])
+    return sr.best_of(both, ["symbol", "window_id"], "in_sharpe", "combo").join(combos, ["symbol", "combo"])
 
 
 def window_drawdowns(bars: DataFrame, best: DataFrame) -> DataFrame:
