@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barline.functions.signals import clip
+from barline.functions.special import t_two_sided
 from barline.operators.aggregates import threshold_counts
 
 
@@ -219,9 +220,9 @@ def overfit_rollup(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def statistical_validation(df: DataFrame, keys: list[str], sharpe: str, ret: str) -> DataFrame:
-    """WFO-07: moments, positive shares, the one-sample t statistic against 0 and the rating.
+    """WFO-07: moments, positive shares, the one-sample t test against 0 (two-sided) and the rating.
 
-    The p-value needs the t distribution and is left to the reader of t and n.
+    ``significant`` means a p-value below 0.05; without spread or with one window there is no test and both are null.
     """
     d = df.groupBy(*keys).agg(
         F.count(sharpe).alias("n"),
@@ -234,6 +235,8 @@ def statistical_validation(df: DataFrame, keys: list[str], sharpe: str, ret: str
         F.avg((F.col(ret) > 0).cast("int")).alias("return_positive"),
         F.try_divide(F.avg(sharpe), F.nullif(F.stddev_samp(sharpe), F.lit(0.0)) / F.sqrt(F.count(sharpe))).alias("t_stat"),
     )
+    d = d.withColumn("p_value", t_two_sided(F.col("t_stat"), F.col("n") - 1))
+    d = d.withColumn("significant", F.col("p_value") < 0.05)
     m, p = F.col("sharpe_mean"), F.col("sharpe_positive")
     return d.withColumn(
         "rating",

@@ -75,9 +75,9 @@ def _(t: Tables) -> DataFrame:
         F.first(F.typeof("l_partkey")).alias("part_type"), F.sum("l_linenumber").alias("lines"), F.sum("l_partkey").alias("parts"))
 
 
-@query("prj09_chunks", "SELECT event_id, (row_number() OVER (ORDER BY ts) - 1) // 1000 AS chunk FROM events")
+@query("prj09_chunks", "SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1) // 1000 AS chunk FROM events")
 def _(t: Tables) -> DataFrame:
-    return pj.chunk_rows(t.events.select("event_id", "ts"), ["ts"], 1000).select("event_id", "chunk")
+    return pj.chunk_rows(t.events.select("event_id", "ts"), ["ts", "event_id"], 1000).select("event_id", "chunk")
 
 
 RAW_SYMBOL = "event_type || CASE event_id % 4 WHEN 0 THEN '/usdt' WHEN 1 THEN '-Btc' WHEN 2 THEN 'usdt' ELSE '' END"

@@ -59,7 +59,10 @@ ROLLUP = """ru AS (SELECT symbol, count(*) AS windows, avg(validation) AS mean_v
 STATS = """st AS (SELECT symbol, count(*) AS n, avg(out_sharpe) AS sharpe_mean, stddev_pop(out_sharpe) AS sharpe_sd, avg(out_return) AS return_mean, stddev_pop(out_return) AS return_sd, avg((out_sharpe > 0)::INT) AS sharpe_positive,
     avg((out_return > 0)::INT) AS return_positive, avg(out_sharpe) / nullif(stddev_samp(out_sharpe), 0) * sqrt(count(*)) AS t_stat FROM sw GROUP BY 1),
   sk AS (SELECT symbol, avg(pow(out_sharpe - sharpe_mean, 3)) / pow(any_value(sharpe_sd), 3) AS sharpe_skew FROM sw JOIN st USING (symbol) GROUP BY 1),
-  sv AS (SELECT *, CASE WHEN sharpe_mean > 1 AND sharpe_positive > 0.7 THEN 'EXCELLENT' WHEN sharpe_mean > 0.5 AND sharpe_positive > 0.6 THEN 'GOOD' WHEN sharpe_mean > 0 AND sharpe_positive > 0.5 THEN 'FAIR' ELSE 'POOR' END AS rating FROM st JOIN sk USING (symbol))"""
+  th AS (SELECT *, n - 1 AS df, atan(t_stat / sqrt(n - 1)) AS th FROM st),
+  pv AS (SELECT symbol, 1 - CASE WHEN df % 2 = 1 THEN 2 / pi() * (abs(th) + CASE WHEN df > 1 THEN sin(abs(th)) * cos(th) * list_sum(list_transform(range(0, (df - 1) // 2), lambda k: CASE WHEN k = 0 THEN 1 ELSE list_product(list_transform(range(1, k + 1), lambda i: 2 * i / (2 * i + 1) * pow(cos(th), 2))) END)) ELSE 0 END)
+    ELSE sin(abs(th)) * list_sum(list_transform(range(0, df // 2), lambda k: CASE WHEN k = 0 THEN 1 ELSE list_product(list_transform(range(1, k + 1), lambda i: (2 * i - 1) / (2 * i) * pow(cos(th), 2))) END)) END AS p_value FROM th),
+  sv AS (SELECT *, p_value < 0.05 AS significant, CASE WHEN sharpe_mean > 1 AND sharpe_positive > 0.7 THEN 'EXCELLENT' WHEN sharpe_mean > 0.5 AND sharpe_positive > 0.6 THEN 'GOOD' WHEN sharpe_mean > 0 AND sharpe_positive > 0.5 THEN 'FAIR' ELSE 'POOR' END AS rating FROM st JOIN sk USING (symbol) JOIN pv USING (symbol))"""
 
 
 def _rollup(windows: DataFrame) -> DataFrame:
@@ -75,8 +78,8 @@ def _(t: Tables) -> DataFrame:
     return _rollup(wf.scored_windows(t.hourly_stored()))
 
 
-@query("wfo07_statistical_validation", f"WITH {BARS}, {CELLS}, {STATS} SELECT * FROM sv", "symbol, n, rating",
-       "sharpe_mean, sharpe_sd, sharpe_skew, return_mean, return_sd, sharpe_positive, return_positive, t_stat")
+@query("wfo07_statistical_validation", f"WITH {BARS}, {CELLS}, {STATS} SELECT * FROM sv", "symbol, n, rating, significant",
+       "sharpe_mean, sharpe_sd, sharpe_skew, return_mean, return_sd, sharpe_positive, return_positive, t_stat, p_value")
 def _(t: Tables) -> DataFrame:
     return _stats(wf.scored_windows(t.hourly_stored()))
 

@@ -158,10 +158,9 @@ def _(t: Tables) -> DataFrame:
     return feeds.market_caps(documents(t, F.array(millis().cast("double"), c("close") * 1e6), lambda x: F.struct(x.alias("market_caps"))))
 
 
-@query("src16_macro", f"WITH {BARS} SELECT symbol, ts, CASE WHEN volume > 2 THEN close ELSE 0 END AS btc_dominance, CASE WHEN symbol <> 'view' THEN high + low ELSE 0 END AS stablecoin_total FROM bars", "symbol, ts", "btc_dominance, stablecoin_total")
+@query("src16_macro", f"WITH {BARS} SELECT symbol, ts, CASE WHEN volume > 2 THEN close ELSE 0 END AS btc_dominance, high + low AS stablecoin_total FROM bars", "symbol, ts", "btc_dominance, stablecoin_total")
 def _(t: Tables) -> DataFrame:
-    stable = feeds.stablecoins(_coin_docs(t)).filter("symbol <> 'view'")
-    return feeds.macro(feeds.global_market(_market_docs(t)), stable, ["symbol", "ts"])
+    return feeds.macro(feeds.global_market(_market_docs(t)), feeds.stablecoins(_coin_docs(t)), ["symbol", "ts"])
 
 
 @query("src17_search_interest",
