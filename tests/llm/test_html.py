@@ -104,3 +104,35 @@ def test_comments_and_links_in_a_marked_article():
         p = ("word " * n).strip()
         page = f"<article><p><a href=1>more on this river</a></p><p>{p}</p><p>{text}</p></article>"
         assert html.main_text(page, TREE) == f"more on this river\n{p}\n{text}"
+
+
+PARAGRAPHS = ["one " * 36, "two " * 36]
+HOLDERS = [
+    "<article class='post comments-open'>{}</article>", "<article class='post sponsored'>{}</article>", "<main class=ad-free>{}</main>",
+    "<div id='how-to-reply-to-mail'>{}</div>", "<form id=aspnetForm>{}</form>", "<form id=f><article>{}</article></form>",
+]
+
+
+@pytest.mark.parametrize("page", HOLDERS)
+def test_names_and_forms_do_not_hide_the_article(page):
+    body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    assert html.main_text(page.format(body), TREE) == "\n".join(p.strip() for p in PARAGRAPHS)
+
+
+def test_comment_articles_stay_beside():
+    comments = "".join(f"<article class=comment><p>{'nice ' * n}</p></article>" for n in (20, 25))
+    assert html.main_text(f"<article><p>{PARAGRAPHS[0]}</p>{comments}</article>", TREE) == PARAGRAPHS[0].strip()
+
+
+@pytest.mark.parametrize("lines", [
+    ["Flood", "Short news today.", "More is known later."], ["Recipe", "Eggs", "Milk", "Flour", "Stir " * 14],
+    ["Who is there?", "It is me, the neighbour.", "At this hour?", "The river is rising, come along.", "I will get my coat.", "Be quick."],
+])
+def test_pages_of_short_lines(lines):
+    assert html.main_text("".join(f"<p>{x}</p>" for x in lines), TREE) == "\n".join(x.strip() for x in lines)
+
+
+def test_quoted_values_of_any_length_and_kind():
+    assert html.main_text(f"<article><p data-x=\"{'x' * 10_001}>LEAK\">words</p></article>", TREE) == "words"
+    assert html.main_text("<article><p title='a > b' data-y=\"c > d\">q</p><p title='open>r</p></article>", TREE) == "q\nr"
+    assert html.main_text("<article><p it's>don't</p></article>", TREE) == "don't"
