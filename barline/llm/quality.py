@@ -36,10 +36,10 @@ def word_list(text: Column) -> Column:
 
 
 def with_words(docs: DataFrame) -> DataFrame:
-    """Adds ``_t``, the text without null, and ``_h``, the hashes of its words in order."""
+    """Adds ``_t``, the text without null, ``_w``, its words, and ``_h``, their hashes in order."""
     docs = docs.withColumn("_t", F.coalesce("text", F.lit("")))
     docs = docs.withColumn("_w", word_list(F.col("_t")))
-    return docs.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).drop("_w")
+    return docs.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
 
 
 def buckets(h: str) -> Column:
@@ -72,15 +72,15 @@ def covered_words(grams: str) -> Column:
 def base_counts(docs: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed as ``_``-prefixed columns."""
     t = F.col("_t")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+    lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     docs = docs.withColumns(
         {
             "_n": F.size("_h").cast("long"),
-            "_word_chars": F.length(F.translate(t, BLANKS, "")).cast("long"),
-            "_n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+            "_word_chars": F.length(F.array_join("_w", "")).cast("long"),
+            "_n_symbols": F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")).cast("long"),
             "_lines": lines,
         }
-    )
+    ).drop("_w")
     docs = docs.withColumn("_n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
     docs = docs.withColumn("_grams", repeated_words("_h", "_n"))
     twice = F.size(F.array_distinct("_grams")) < F.size("_grams")
