@@ -125,7 +125,7 @@ def mixed(docs: DataFrame, shards: int = 8, seed: int = 0, keep: list[str] | Non
     taken; a null source is a source of its own, the last. Rows with equal ids are ordered by size; equal rows are
     interchangeable. No documents: no rows.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "_mix"]  # a column of that name is replaced
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_doc"),
         "doc_id",

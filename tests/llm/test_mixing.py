@@ -75,3 +75,9 @@ def test_pipeline_writes_shards_in_order(spark):
         for d in r._mix.draws:
             words[d.shard] = words.get(d.shard, 0) + d.words
     assert words == {k: sum(len(t.split()) for _, t in rows) for k, rows in shards.items()}
+
+
+def test_a_column_of_the_results_name_is_replaced(spark):
+    df = spark.createDataFrame([(1, "a b c", "s", 7)], "doc_id long, text string, source string, _mix int")
+    row = mixing.mixed(df).first()
+    assert row._mix.size == 3 and row.text == "a b c"
