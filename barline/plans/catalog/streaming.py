@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from barline.functions import signals as sg
 from barline.operators import quality as dq
+from barline.operators.positions import positions
 from barline.plans.catalog import BARS, query
 from barline.plans.catalog.text import HASH
 from barline.sources.tables import Tables
@@ -29,16 +30,34 @@ def _(t: Tables) -> DataFrame:
     return runner.run_to_parquet(dedup.stream_unique_texts(timed), "dedup").select("hash")
 
 
-@query("str03_position_monitor")
-def _(t: Tables) -> DataFrame:
-    out = runner.run_to_parquet(state.monitor_positions(stream_ticks(t)), "positions")
+def walk_sql(source: str, order: str) -> str:
+    """One position at a time, row by row: a held position is tested on each later row, a closed one leaves the next row free."""
+    held = "(f.entry IS NOT NULL AND f.reason IS NULL)"
+    return f"""m AS (SELECT symbol, ts, price, row_number() OVER (PARTITION BY symbol ORDER BY {order}) AS rn FROM {source}),
+      f(symbol, rn, entry_ts, entry, peak, exit_ts, exit_price, reason) AS (SELECT symbol, 0::BIGINT, NULL::TIMESTAMP, NULL::DOUBLE, NULL::DOUBLE, NULL::TIMESTAMP, NULL::DOUBLE, NULL::VARCHAR FROM m GROUP BY 1
+        UNION ALL SELECT m.symbol, m.rn, CASE WHEN {held} THEN f.entry_ts WHEN m.price > 0 THEN m.ts END, CASE WHEN {held} THEN f.entry WHEN m.price > 0 THEN m.price END,
+          CASE WHEN {held} THEN greatest(f.peak, m.price) WHEN m.price > 0 THEN m.price END, m.ts, m.price,
+          CASE WHEN NOT {held} THEN NULL WHEN m.price <= f.entry * 0.98::DOUBLE THEN 'STOP_LOSS' WHEN m.price >= f.entry * 1.04::DOUBLE THEN 'TAKE_PROFIT'
+            WHEN greatest(f.peak, m.price) > f.entry AND m.price <= greatest(f.peak, m.price) * 0.98::DOUBLE THEN 'TRAILING_STOP' END
+        FROM f JOIN m ON m.symbol = f.symbol AND m.rn = f.rn + 1)
+      SELECT symbol, floor(epoch(entry_ts))::BIGINT AS entry_s, entry AS entry_price, floor(epoch(exit_ts))::BIGINT AS exit_s, exit_price, reason FROM f WHERE reason IS NOT NULL"""
+
+
+def _seconds(out: DataFrame) -> DataFrame:
     return out.select("symbol", F.unix_seconds("entry_ts").alias("entry_s"), "entry_price", F.unix_seconds("exit_ts").alias("exit_s"), "exit_price", "reason")
 
 
-@query("str03_position_batch")
+TICKS = "(SELECT event_type AS symbol, ts, value AS price, event_id FROM events)"
+
+
+@query("str03_position_monitor", f"WITH RECURSIVE {walk_sql(TICKS, 'ts, event_id')}")
 def _(t: Tables) -> DataFrame:
-    out = state.positions_batch(t.hourly().withColumn("price", F.col("close")))
-    return out.select("symbol", F.unix_seconds("entry_ts").alias("entry_s"), "entry_price", F.unix_seconds("exit_ts").alias("exit_s"), "exit_price", "reason")
+    return _seconds(runner.run_to_parquet(state.monitor_positions(stream_ticks(t)), "positions"))
+
+
+@query("str03_position_batch", f"WITH RECURSIVE {BARS}, {walk_sql('(SELECT symbol, ts, close AS price FROM bars)', 'ts')}")
+def _(t: Tables) -> DataFrame:
+    return _seconds(positions(t.hourly().withColumnRenamed("close", "price")))
 
 
 @query("str04_day_report",

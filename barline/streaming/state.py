@@ -13,18 +13,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-# Stop, target and trailing distance as shares of the price.
-STOP, TARGET, TRAIL = 0.02, 0.04, 0.02
+from barline.operators.positions import STOP, TARGET, TRAIL
 
 EXIT_SCHEMA = "symbol string, entry_ts timestamp, entry_price double, exit_ts timestamp, exit_price double, reason string"
 
 
 def exit_reason(price: float, entry: float, peak: float) -> str | None:
     """Stop first, then target, then the trailing stop once the peak is above the entry."""
-    move = (price - entry) / entry
-    if move <= -STOP:
+    if price <= entry * (1 - STOP):
         return "STOP_LOSS"
-    if move >= TARGET:
+    if price >= entry * (1 + TARGET):
         return "TAKE_PROFIT"
     if peak > entry and price <= peak * (1 - TRAIL):
         return "TRAILING_STOP"
@@ -60,7 +58,7 @@ def _monitor(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     held = state.get if state.exists else None
     if held is not None:
         held = (pd.Timestamp(held[0]), held[1], held[2])
-    rows = pd.concat(list(batches)).sort_values("ts", ignore_index=True)
+    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], ignore_index=True)
     done, held = follow(key[0], rows, held)
     if held is None:
         state.remove() if state.exists else None
@@ -70,7 +68,10 @@ def _monitor(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 
 
 def monitor_positions(ticks: DataFrame) -> DataFrame:
-    """STR-03: one row per closed position from a stream of (symbol, ts, price)."""
+    """STR-03: one row per closed position from a stream of (symbol, ts, price, event_id).
+
+    ``operators.positions`` gives the same rows for bars at rest. Equal times follow event_id.
+    """
     return ticks.groupBy("symbol").applyInPandasWithState(
         _monitor,
         outputStructType=EXIT_SCHEMA,
@@ -80,22 +81,12 @@ def monitor_positions(ticks: DataFrame) -> DataFrame:
     )
 
 
-def positions_batch(bars: DataFrame) -> DataFrame:
-    """The batch twin over (symbol, ts, price) bars, whose number per symbol the calendar bounds."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts", ignore_index=True)
-        return _frame(follow(rows["symbol"].iloc[0], rows, None)[0])
-
-    return bars.select("symbol", "ts", "price").groupBy("symbol").applyInPandas(one, EXIT_SCHEMA)
-
-
 def rolling_buffer(ticks: DataFrame, size: int = 7) -> DataFrame:
     """STR-05: the last ``size`` values of each key with every arriving row, once there are that many."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("ts", ignore_index=True)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], ignore_index=True)
         out = []
         for row_id, value in zip(rows["event_id"], rows["price"]):
             kept = (kept + [float(value)])[-size:]
@@ -122,7 +113,7 @@ def experience_buffer(ticks: DataFrame, capacity: int = 10_000, every: int = 100
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept, seen, total = state.get if state.exists else ([], 0, 0.0)
         kept, out = list(kept), []
-        rows = pd.concat(list(batches)).sort_values("ts", ignore_index=True)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], ignore_index=True)
         for value in rows["price"]:
             kept.append(float(value))
             seen, total = seen + 1, total + float(value)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from barline.operators.positions import positions
 from barline.streaming import bars as sb, dedup, runner, state
 
 
@@ -26,7 +27,7 @@ def stream(spark, landed):
 
 def test_positions(spark, landed):
     got = runner.run_to_parquet(state.monitor_positions(stream(spark, landed)), "t")
-    want = state.positions_batch(landed[1])
+    want = positions(landed[1])
     key = lambda df: sorted((r.symbol, r.entry_ts, r.exit_ts, r.reason) for r in df.collect())
     assert key(got) == key(want) and len(key(want)) > 10
 
