@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from barline.operators.draws import hashed, once, share
 from barline.operators.onerow import with_row
 from barline.operators.ordered import BARS, Series, numbered
 from barline.operators.quality import attach
@@ -89,18 +90,21 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, features: list[str]) -> DataF
     return d.withColumns({f"{c}_scaled": scaled(c) for c in features}).drop("_scaler")
 
 
-def augment(df: DataFrame, column: str, seed: int = 42, noise: float = 0.02, low: float = 0.97, high: float = 1.03) -> DataFrame:
+def augment(
+    df: DataFrame, column: str, keys: list[str], seed: int = 42, noise: float = 0.02, low: float = 0.97, high: float = 1.03
+) -> DataFrame:
     """MLP-06: each array times one random scale, plus normal noise per element.
 
-    A lambda may not draw random numbers, so the noise is Box-Muller over two
-    hashes of the row's own random seed and the element's position.
+    The draws are hashes of seed, ``keys`` (which tell rows apart) and position; the noise is Box-Muller over two parts
+    of one hash.
     """
-    scale = low + (high - low) * F.rand(seed)
-    d = df.withColumn("_scale", scale).withColumn("_seed", F.rand(seed + 1))
+    row = [F.lit(seed), *[F.col(k) for k in keys]]
+    d = df.withColumn("_scale", low + (high - low) * share(hashed(*row, F.lit("scale"))))
+
+    def normal(digest: Column) -> Column:
+        return F.sqrt(-2 * F.ln(1 - share(digest))) * F.cos(2 * F.pi() * share(digest, 14))
 
     def element(x: Column, i: Column) -> Column:
-        u = (F.pmod(F.xxhash64("_seed", i, F.lit(1)), F.lit(1_000_003)) + 1) / 1_000_004.0
-        v = F.pmod(F.xxhash64("_seed", i, F.lit(2)), F.lit(1_000_003)) / 1_000_003.0
-        return x * F.col("_scale") + noise * F.sqrt(-2 * F.ln(u)) * F.cos(2 * F.pi() * v)
+        return x * F.col("_scale") + noise * once(hashed(*row, i), normal)
 
-    return d.withColumn(column, F.transform(column, element)).drop("_scale", "_seed")
+    return d.withColumn(column, F.transform(column, element)).drop("_scale")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barline.operators.draws import hashed, poisson, share
+
 FANOUT = 32
 
 
@@ -186,14 +188,15 @@ def comparison_score(validation: Column, overfit: Column, sharpe: Column) -> Col
     return 0.4 * validation + 0.3 * (1 - overfit) + 0.3 * F.greatest(F.lit(0.0), F.least(F.lit(2.0), sharpe)) / 2
 
 
-def bootstrap(df: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
-    """TRD-07: replicates of the rows drawn with replacement.
+def bootstrap(df: DataFrame, replicates: int, keys: list[str], seed: int = 42) -> DataFrame:
+    """TRD-07: replicates of the rows drawn with replacement; ``copies`` says how often a replicate holds the row.
 
-    Every row draws its own multiplicity (Poisson, the large-sample form of
-    drawing n of n), so no step needs a row count or an order.
+    Every row draws its own multiplicity (Poisson, the large-sample form of drawing n of n), so no step needs a row
+    count or an order. The draw is a hash of seed, ``keys`` (which tell rows apart) and replicate.
     """
-    copies = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    return copies.sample(withReplacement=True, fraction=1.0, seed=seed)
+    d = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    draw = share(hashed(F.lit(seed), *[F.col(k) for k in keys], F.col("replicate")))
+    return d.withColumn("copies", poisson(draw)).filter("copies > 0")
 
 
 def signal_proxy(signals: DataFrame, keys: list[str]) -> DataFrame:

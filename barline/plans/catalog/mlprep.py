@@ -11,6 +11,8 @@ from barline.plans import indicators as ind, training as tn
 from barline.plans.catalog import BARS, W, query, rows, strict
 from barline.plans.catalog.recurrence import NUMBERED, ewm
 from barline.plans.catalog.windows import RSI
+from barline.operators.resample import bars_from_ticks
+from barline.session import scratch_path
 from barline.sources.tables import Tables
 
 
@@ -75,10 +77,17 @@ def _(t: Tables) -> DataFrame:
     return ml.apply_scaler(d, scaler_table(doc), ["value", "absent"])
 
 
-@query("mlp06_augment")
+def drawn_sql(text: str, start: int = 1) -> str:
+    return f"('0x' || substr(md5({text}), {start}, 13))::BIGINT / 4503599627370496::DOUBLE"
+
+
+@query("mlp06_augment",
+       f"""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i, 0.97::DOUBLE + (1.03::DOUBLE - 0.97::DOUBLE) * {drawn_sql("concat_ws('|', '42', vec_id, 'scale')")} AS scale FROM embeddings),
+       y AS (SELECT vec_id, i, x * scale + 0.02::DOUBLE * sqrt(-2 * ln(1 - {drawn_sql("concat_ws('|', '42', vec_id, i)")})) * cos(2 * pi() * {drawn_sql("concat_ws('|', '42', vec_id, i)", 14)}) AS value FROM x) SELECT * FROM y""",
+       "vec_id, i", "value")
 def _(t: Tables) -> DataFrame:
-    d = ml.augment(t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), "embedding")
-    return d.select("vec_id", F.size("embedding").alias("n"))
+    d = ml.augment(t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), "embedding", ["vec_id"])
+    return d.select("vec_id", F.posexplode("embedding").alias("i", "value"))
 
 
 @query("mlp07_ablation",
@@ -154,6 +163,17 @@ def _(t: Tables) -> DataFrame:
     return tn.training_set(t.hourly(), "view")
 
 
+COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in tn.FEATURES)
+
+
+@query("mlp08_training_files", f"WITH RECURSIVE {BARS}, {NUMBERED}, {TRAINING} SELECT * FROM tz WHERE ts >= TIMESTAMP '2024-01-12' AND ts < TIMESTAMP '2024-01-29' AND {COMPLETE}",
+       "symbol, ts, target", ", ".join(tn.FEATURES))
+def _(t: Tables) -> DataFrame:
+    minutes = bars_from_ticks(t.ticks(), "1m")
+    files = tn.training_files(minutes, "view", scratch_path(t.spark, "training"))
+    return tn.training_range(files, "2024-01-12", "2024-01-29")
+
+
 SPINE = "spine AS (SELECT unnest(generate_series(min(o_orderdate)::DATE::TIMESTAMP, max(o_orderdate)::DATE::TIMESTAMP, INTERVAL 1 DAY)) AS ts FROM orders)"
 DAILY = f"""{SPINE}, o AS (SELECT o_orderdate::DATE AS day, arg_min(o_totalprice, (o_orderdate, o_totalprice)) AS total FROM orders GROUP BY 1),
   l AS (SELECT l_shipdate::DATE AS day, arg_min(l_quantity, (l_shipdate, l_quantity)) AS quantity FROM lineitem GROUP BY 1),

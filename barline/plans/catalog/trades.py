@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from barline.functions import signals as sg
 from barline.operators import aggregates as agg, trades as tr
+from barline.operators.draws import poisson_steps
 from barline.plans import ledger as lg
 from barline.plans.catalog import BARS, W, query
 from barline.session import durable
@@ -114,10 +115,17 @@ def _(t: Tables) -> DataFrame:
     return tr.signal_proxy(signals, ["symbol"])
 
 
-@query("trd07_bootstrap")
+COPIES = " + ".join(f"(u >= {s!r}::DOUBLE)::INT" for s in poisson_steps())
+
+
+@query("trd07_bootstrap",
+       f"""WITH {LEDGER}, dr AS (SELECT replicate, pnl, ('0x' || substr(md5(concat_ws('|', '42', symbol, epoch(ts)::BIGINT, replicate)), 1, 13))::BIGINT / 4503599627370496::DOUBLE AS u FROM ledger, (SELECT unnest(range(20)) AS replicate)),
+       cp AS (SELECT *, {COPIES} AS copies FROM dr) SELECT replicate, sum(copies) AS n, sum(copies * pnl) AS total_pnl FROM cp WHERE copies > 0 GROUP BY 1""",
+       "replicate, n", "total_pnl")
 def _(t: Tables) -> DataFrame:
-    runs = tr.bootstrap(lg.ledger(t).select("symbol", "pnl"), 20)
-    return runs.groupBy("replicate").agg(F.count("*").alias("n"), F.round(F.sum("pnl"), 6).alias("total_pnl"))
+    trades = lg.ledger(t).select("symbol", F.unix_seconds("ts").alias("entry_s"), "pnl")
+    runs = tr.bootstrap(trades, 20, ["symbol", "entry_s"])
+    return runs.groupBy("replicate").agg(F.sum("copies").alias("n"), F.sum(F.col("copies") * F.col("pnl")).alias("total_pnl"))
 
 
 @query("trd05_readiness",

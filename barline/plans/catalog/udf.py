@@ -51,6 +51,26 @@ def _(t: Tables) -> DataFrame:
     return udf.apply_per_series(t.hourly(), _spread, "spread")
 
 
+def _longest_rise(state: tuple, rows: pd.DataFrame) -> tuple:
+    """(last price, length of the run at the end, longest run): rows pass in pieces, a run may cross them."""
+    if (rows["symbol"] == "error").any():
+        raise ValueError("refused")
+    last, run, longest = state
+    for price in rows["price"]:
+        run = run + 1 if last is not None and price > last else 0
+        last, longest = price, max(longest, run)
+    return last, run, longest
+
+
+@query("udf02_folded_series",
+       """WITH d AS (SELECT event_type AS symbol, ts, event_id, value > lag(value) OVER w AS up FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+       g AS (SELECT symbol, up, count(*) FILTER (up IS NOT TRUE) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS g FROM d), r AS (SELECT symbol, g, count(*) FILTER (up) AS n, count(*) AS c FROM g GROUP BY 1, 2)
+       SELECT symbol, symbol <> 'error' AS success, CASE WHEN symbol = 'error' THEN 'ValueError: refused' END AS error, sum(c)::BIGINT AS data_size, CASE WHEN symbol <> 'error' THEN max(n) END AS longest_rise FROM r GROUP BY 1""",
+       "symbol, success, error, data_size", "longest_rise")
+def _(t: Tables) -> DataFrame:
+    return udf.reduce_series(t.ticks(), lambda: (None, 0, 0), _longest_rise, lambda s: s[2], ["symbol"], ["ts", "event_id"], "longest_rise")
+
+
 @query("udf03_rolling_function",
        f"WITH {BARS} SELECT symbol, ts, CASE WHEN count(close) OVER {rows(10)} >= 10 THEN max(close) OVER {rows(10)} - avg(close) OVER {rows(10)} END AS above_mean FROM bars", "symbol, ts", "above_mean")
 def _(t: Tables) -> DataFrame:

@@ -8,6 +8,7 @@ from barline.functions import windows as w
 from barline.operators import joins
 from barline.operators.ordered import BARS as S, Running, Series, running
 from barline.operators.quality import acceptable_missing
+from barline.operators.resample import resample
 from barline.plans.indicators import hourly_features
 
 # The feature columns, in order.
@@ -55,6 +56,23 @@ def training_set(bars: DataFrame, market: str) -> DataFrame:
     return d.select("symbol", "ts", *FEATURES, "target").dropna(subset=FEATURES)
 
 
+def training_files(bars: DataFrame, market: str, path: str, interval: str = "1h") -> DataFrame:
+    """MLP-08 from bars of any finer interval: resampled, made a training set, stored by symbol and month, read back.
+
+    Symbol and month are folders, so that a reader of some symbols or a range of months opens their files only.
+    Incomplete months of a rerun are replaced by the whole write.
+    """
+    made = training_set(resample(bars, interval), market).withColumn("month", F.date_format("ts", "yyyy-MM"))
+    made.repartition("symbol", "month").sortWithinPartitions("symbol", "month", "ts").write.mode("overwrite").partitionBy("symbol", "month").parquet(path)
+    return made.sparkSession.read.schema(made.schema).parquet(path)
+
+
+def training_range(files: DataFrame, since: str, until: str) -> DataFrame:
+    """Rows of stored training sets with since <= ts < until; months outside are not opened."""
+    months = (F.col("month") >= since[:7]) & (F.col("month") <= until[:7])
+    return files.filter(months & (F.col("ts") >= F.lit(since).cast("timestamp")) & (F.col("ts") < F.lit(until).cast("timestamp"))).drop("month")
+
+
 def daily_set(sources: list[tuple[str, DataFrame, str]], spine: DataFrame, limit: float = 0.20) -> tuple[DataFrame, DataFrame]:
     """MLP-09: fold the sources on the day spine, report missing shares, fill forward, backward, then 0.
 

@@ -171,9 +171,23 @@ def test_splits_and_scaling(spark, bars):
 
 def test_augment_stays_close(spark):
     d = spark.createDataFrame([(i, [1.0] * 50) for i in range(200)], "id int, v array<double>")
-    x = np.array([r.v for r in mlprep.augment(d, "v").collect()])
+    x = np.array([r.v for r in mlprep.augment(d, "v", ["id"]).orderBy("id").collect()])
     assert x.shape == (200, 50) and 0.96 < x.mean() < 1.04
     assert 0.015 < (x - x.mean(axis=1, keepdims=True)).std() < 0.025
+    again = mlprep.augment(d.repartition(7, F.rand()), "v", ["id"]).orderBy("id").collect()
+    assert (x == np.array([r.v for r in again])).all()
+
+
+def test_bootstrap_draws_like_poisson(spark):
+    from barline.operators.trades import bootstrap
+
+    d = spark.range(3000).withColumn("x", F.lit(1.0))
+    runs = bootstrap(d, 5, ["id"]).groupBy("replicate").agg(
+        F.count("*").alias("held"), F.sum("copies").alias("n"), F.sum(F.col("copies") * F.col("copies")).alias("q")).collect()
+    assert len(runs) == 5 and len({r.n for r in runs}) > 1
+    for r in runs:  # mean 1, variance 1, a share of 1 - 1/e held at all
+        assert abs(r.n / 3000 - 1) < 0.08 and abs(r.q / 3000 - 2) < 0.25 and abs(r.held / 3000 - 0.632) < 0.04
+    assert bootstrap(d.limit(0), 5, ["id"]).count() == 0
 
 
 def test_admission_rules(spark):
