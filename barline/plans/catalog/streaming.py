@@ -10,7 +10,7 @@ from barline.operators.positions import positions
 from barline.plans.catalog import BARS, query
 from barline.plans.catalog.text import HASH
 from barline.sources.tables import Tables
-from barline.streaming import bars as sb, dedup, runner, state
+from barline.streaming import bars as sb, dedup, runner, state, tails
 
 
 def stream_ticks(t: Tables) -> DataFrame:
@@ -73,7 +73,7 @@ def _(t: Tables) -> DataFrame:
        """SELECT event_type AS symbol, event_id, list(value) OVER w AS buffer FROM events
        WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS 6 PRECEDING) QUALIFY count(*) OVER w = 7""")
 def _(t: Tables) -> DataFrame:
-    return runner.run_to_parquet(state.rolling_buffer(stream_ticks(t)), "buffer")
+    return tails.run_tails(stream_ticks(t), "buffer", tails.rolling_buffer(7))
 
 
 @query("str06_experience_buffer",
@@ -81,7 +81,7 @@ def _(t: Tables) -> DataFrame:
        SELECT symbol, seen, least(seen, 1000) AS held, recent_mean, total FROM n WHERE seen % 100 = 0""",
        "symbol, seen, held", "recent_mean, total")
 def _(t: Tables) -> DataFrame:
-    return runner.run_to_parquet(state.experience_buffer(stream_ticks(t), capacity=1000), "experience")
+    return tails.run_tails(stream_ticks(t), "experience", tails.experience_buffer(1000))
 
 
 @query("str07_ttl_lookup",
@@ -122,3 +122,10 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     action = F.when(sg.threshold_move("close", 0.5) > 0, "BUY").otherwise("HOLD")
     return state.hold_rows(t.hourly().withColumn("action", action))
+
+
+@query("str10_hold_stream",
+       """WITH h AS (SELECT event_type AS symbol, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events WHERE value <= 100) SELECT symbol, event_id FROM h WHERE i % 12 = 0""")
+def _(t: Tables) -> DataFrame:
+    actions = stream_ticks(t).withColumn("action", F.when(F.col("price") > 100, "BUY").otherwise("HOLD"))
+    return tails.run_tails(actions, "holds", tails.hold_rows(["symbol", "event_id"]))

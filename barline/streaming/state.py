@@ -1,6 +1,6 @@
-"""STR-03, STR-05, STR-06: keyed state with ``applyInPandasWithState``.
+"""STR-03: keyed state with ``applyInPandasWithState``; STR-10 in batch form.
 
-State per key is a few numbers or a capped list. A trigger's rows of one key
+State per key is a few numbers. A trigger's rows of one key
 reach one task, in the order of their time within the trigger, so the trigger
 size (``maxFilesPerTrigger``) is what bounds a hot key.
 """
@@ -81,58 +81,6 @@ def monitor_positions(ticks: DataFrame) -> DataFrame:
     )
 
 
-def rolling_buffer(ticks: DataFrame, size: int = 7) -> DataFrame:
-    """STR-05: the last ``size`` values of each key with every arriving row, once there are that many."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], ignore_index=True)
-        out = []
-        for row_id, value in zip(rows["event_id"], rows["price"]):
-            kept = (kept + [float(value)])[-size:]
-            if len(kept) == size:
-                out.append((key[0], row_id, kept))
-        state.update((kept,))
-        yield pd.DataFrame(out, columns=["symbol", "event_id", "buffer"])
-
-    return ticks.groupBy("symbol").applyInPandasWithState(
-        step,
-        outputStructType="symbol string, event_id long, buffer array<double>",
-        stateStructType="buffer array<double>",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout,
-    )
-
-
-def experience_buffer(ticks: DataFrame, capacity: int = 10_000, every: int = 100) -> DataFrame:
-    """STR-06: a capped newest-first buffer; each ``every`` rows emit the count, size, mean and total so far.
-
-    The state keeps the capped values and two totals.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept, seen, total = state.get if state.exists else ([], 0, 0.0)
-        kept, out = list(kept), []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], ignore_index=True)
-        for value in rows["price"]:
-            kept.append(float(value))
-            seen, total = seen + 1, total + float(value)
-            if len(kept) > capacity:
-                del kept[: len(kept) - capacity]
-            if seen % every == 0:
-                out.append((key[0], seen, len(kept), sum(kept[-every:]) / every, total))
-        state.update((kept, seen, total))
-        yield pd.DataFrame(out, columns=["symbol", "seen", "held", "recent_mean", "total"])
-
-    return ticks.groupBy("symbol").applyInPandasWithState(
-        step,
-        outputStructType="symbol string, seen long, held long, recent_mean double, total double",
-        stateStructType="buffer array<double>, seen long, total double",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout,
-    )
-
-
 def hold_rows(actions: DataFrame, every: int = 12) -> DataFrame:
     """STR-10, batch form: every ``every``-th HOLD row of a symbol, in time order."""
     from pyspark.sql import functions as F

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barline.operators.positions import positions
-from barline.streaming import bars as sb, dedup, runner, state
+from barline.streaming import bars as sb, dedup, runner, state, tails
 
 
 @pytest.fixture(scope="module")
@@ -52,12 +52,48 @@ def test_stream_bars_equal_batch(spark, landed):
     assert key(whole) == key(want)
 
 
-def test_buffers(spark, landed):
-    got = runner.run_to_parquet(state.rolling_buffer(stream(spark, landed), 7), "t")
-    n = {r.symbol: r["count"] for r in landed[1].groupBy("symbol").count().collect()}
-    assert got.count() == sum(max(0, v - 6) for v in n.values())
-    exp = runner.run_to_parquet(state.experience_buffer(stream(spark, landed), 150, 100), "t").filter("symbol = 'HOT'")
-    assert sorted((r.seen, r.held) for r in exp.collect()) == [(100, 100)] + [(i * 100, 150) for i in range(2, 8)]
+def by_time(landed):
+    rows = {}
+    for r in landed[1].orderBy("symbol", "ts").collect():
+        rows.setdefault(r.symbol, []).append(r)
+    return rows
+
+
+def test_rolling_buffer_crosses_triggers(spark, landed):
+    got = {r.event_id: r.buffer for r in tails.run_tails(stream(spark, landed), "t", tails.rolling_buffer(7)).collect()}
+    want = {own[i].event_id: [r.price for r in own[i - 6 : i + 1]] for own in by_time(landed).values() for i in range(6, len(own))}
+    assert got == want
+
+
+def test_experience_buffer_counts_across_triggers(spark, landed):
+    out = tails.run_tails(stream(spark, landed), "t", tails.experience_buffer(150, 100)).filter("symbol = 'HOT'").orderBy("seen").collect()
+    prices = [r.price for r in by_time(landed)["HOT"]]
+    assert [(r.seen, r.held) for r in out] == [(100, 100)] + [(i * 100, 150) for i in range(2, 8)]
+    for r in out:
+        assert r.recent_mean == pytest.approx(sum(prices[r.seen - 100 : r.seen]) / 100) and r.total == pytest.approx(sum(prices[: r.seen]))
+
+
+def test_hold_rows_equal_the_batch_form(spark, landed):
+    action = F.when(F.col("price") > 100, "BUY").otherwise("HOLD")
+    got = tails.run_tails(stream(spark, landed).withColumn("action", action), "t", tails.hold_rows(["symbol", "event_id"], 5))
+    want = state.hold_rows(landed[1].withColumn("action", action), 5)
+    ids = lambda d: sorted(r.event_id for r in d.select("event_id").collect())
+    assert ids(got) == ids(want) and len(ids(want)) > 20
+
+
+def test_a_replayed_trigger_gives_the_same_rows(spark):
+    schema = "symbol string, ts timestamp, event_id long, price double"
+    rows = spark.range(40).select(F.lit("A").alias("symbol"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("event_id"), F.when(F.col("id") != 9, F.col("id") * 1.0).alias("price"))
+    empty = spark.createDataFrame([], schema + ", seen long, total double")
+    spec = tails.rolling_buffer(3)
+    _, kept = tails.advance(rows.filter("event_id < 11"), empty, spec)
+    once, again = (tails.advance(rows.filter("event_id >= 11"), kept, spec) for _ in range(2))
+    key = lambda d: sorted((str(r) for r in d.collect()))
+    assert key(once[0]) == key(again[0]) and key(once[1]) == key(again[1])
+    first = once[0].orderBy("event_id").first()
+    assert (first.event_id, first.buffer) == (11, [None, 10.0, 11.0])
+    nothing, still = tails.advance(rows.limit(0), kept, spec)
+    assert nothing.count() == 0 and key(still) == key(kept)
 
 
 def test_unique_texts(spark, tmp_path):
