@@ -1,20 +1,24 @@
 """STR-03: keyed state with ``applyInPandasWithState``; STR-10 in batch form.
 
-State per key is a few numbers. A trigger's rows of one key
-reach one task, in the order of their time within the trigger, so the trigger
-size (``maxFilesPerTrigger``) is what bounds a hot key.
+State per key is a few numbers. A trigger's rows of one key reach one task,
+which keeps three numbers a row of them to put them in the order of their time
+and walks them in steps, so the trigger size (``maxFilesPerTrigger``) is what
+bounds a hot key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barline.operators.positions import STOP, TARGET, TRAIL
 
+#: Rows of a key that are walked at a time.
+STEP_ROWS = 1 << 15
 EXIT_SCHEMA = "symbol string, entry_ts timestamp, entry_price double, exit_ts timestamp, exit_price double, reason string"
 
 
@@ -54,17 +58,31 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     )
 
 
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(ts, price) of all rows by (ts, event_id), in steps; rows are held as plain numbers, never as one frame."""
+    held = {c: [] for c in ("ts", "event_id", "price")}
+    for rows in batches:
+        for c, parts in held.items():
+            parts.append(rows[c].to_numpy(copy=True))
+    ts, event_id, price = (np.concatenate(held.pop(c)) for c in ("ts", "event_id", "price"))
+    order = np.lexsort((event_id, ts))
+    del event_id
+    for at in range(0, len(order), STEP_ROWS):
+        step = order[at : at + STEP_ROWS]
+        yield pd.DataFrame({"ts": ts[step], "price": price[step]})
+
+
 def _monitor(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     held = state.get if state.exists else None
     if held is not None:
         held = (pd.Timestamp(held[0]), held[1], held[2])
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], ignore_index=True)
-    done, held = follow(key[0], rows, held)
+    for rows in _in_order(batches):
+        done, held = follow(key[0], rows, held)
+        yield _frame(done)
     if held is None:
         state.remove() if state.exists else None
     else:
         state.update((held[0].to_pydatetime(), float(held[1]), float(held[2])))
-    yield _frame(done)
 
 
 def monitor_positions(ticks: DataFrame) -> DataFrame:

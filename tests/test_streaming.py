@@ -1,5 +1,9 @@
 """Streams over several files equal their batch twins."""
 
+import tracemalloc
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +36,46 @@ def test_positions(spark, landed):
     assert key(got) == key(want) and len(key(want)) > 10
 
 
+class Held:
+    """A key's state outside a stream."""
+
+    def __init__(self, value=None):
+        self.get, self.exists = value, value is not None
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def remove(self):
+        self.get, self.exists = None, False
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_a_hot_key_is_walked_in_steps_of_few_bytes(monkeypatch, gaps):
+    monkeypatch.setattr(state, "STEP_ROWS", 1000, raising=False)
+    rng, n = np.random.default_rng(3), 100_000
+    rows = pd.DataFrame({"symbol": "HOT", "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, n // 2, n), unit="s"),
+                         "price": rng.uniform(0, 100, n).round(2), "event_id": rng.permutation(n)})
+    if gaps:
+        rows["event_id"] = rows["event_id"].mask(rows.index % 7 == 0)
+        rows["price"], rows["ts"] = rows["price"].mask(rows.index % 11 == 0), rows["ts"].mask(rows.index % 10_001 == 0)
+    want, last = state.follow("HOT", rows.sort_values(["ts", "event_id"], ignore_index=True), None)
+
+    def batches():
+        for at in range(0, n, 5000):
+            yield rows.iloc[at : at + 5000].copy()
+
+    held, got, sizes, most = Held(), [], [], 0
+    tracemalloc.start()
+    for frame in state._monitor(("HOT",), batches(), held):
+        most = most or tracemalloc.get_traced_memory()[1]
+        got += list(frame.itertuples(index=False, name=None))
+        sizes.append(len(frame))
+    tracemalloc.stop()
+    assert [tuple(map(str, g)) for g in got] == [tuple(map(str, w)) for w in want]
+    assert max(sizes) <= 1000 and most < 70 * n
+    assert held.get == (None if last is None else (last[0].to_pydatetime(), last[1], last[2]))
+
+
 def test_exit_rules():
     assert state.exit_reason(97.9, 100, 100) == "STOP_LOSS"
     assert state.exit_reason(104, 100, 104) == "TAKE_PROFIT"
