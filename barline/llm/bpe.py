@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,16 @@ PIECES = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-#: Pieces up to this many characters are remembered, and so many of them.
-CACHED_CHARS, CACHED_PIECES = 48, 500_000
+#: The pattern's kinds of characters; all others are of kind 0.
+KINDS = r"\p{L}+", r"\p{N}+", r"\p{White_Space}+"
+WHITE, APART = 3, 4
+#: Pieces up to so many bytes find their lowest rank by a look at all; longer ones keep a queue.
+SCANNED_BYTES = 32
+NEVER = 1 << 62
+#: Pieces up to this many bytes are remembered, and so many of them.
+CACHED_BYTES, CACHED_PIECES = 96, 500_000
+#: Characters that are cut at a time; a longer text is cut by itself.
+STEP_CHARS = 1 << 22
 #: A queue entry is rank and position in one number; no piece reaches 2^40 bytes.
 POSITION_BITS = 40
 LAST_POSITION = (1 << POSITION_BITS) - 1
@@ -31,8 +41,59 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """The kind of every code point, by the same properties as the pattern."""
+    every = "".join(map(chr, range(0x110000)))
+    out = np.zeros(len(every), np.uint8)
+    for kind, pattern in enumerate(KINDS, 1):
+        for m in regex.finditer(pattern, every):
+            out[m.start() : m.end()] = kind
+    return out
+
+
+def cuts(text: str, apart: list[tuple[int, int]] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of ``PIECES`` start in a text, and at which byte; then its ends.
+
+    The whole text is cut at once, where the kind of its characters changes. Spans that are ``apart`` are one piece each,
+    and what lies between them is cut by itself.
+    """
+    n = len(text)
+    codes = np.zeros(n + 3, np.uint32)
+    codes[:n] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = kinds()[codes]
+    edges = np.array(apart, np.int64).reshape(-1, 2)
+    for a, b in apart:
+        kind[a:b] = APART
+    cut = np.ones(n + 3, bool)
+    cut[1:n] = kind[1:n] != kind[: n - 1] if n else True
+    cut[edges] = True
+    # The last of the white characters before another one stands alone; a space joins what follows.
+    last = np.flatnonzero(cut[1:n] & (kind[: n - 1] == WHITE) & (kind[1:n] != APART)) if n else np.empty(0, np.int64)
+    cut[last] = True
+    cut[last[codes[last] == 32] + 1] = False
+    at = np.flatnonzero((codes[:n] == 39) & (kind[:n] == 0) & cut[:n])
+    if len(at):
+        a, b = (np.where(kind[at + i] == 1, codes[at + i], 0) for i in (1, 2))
+        one = np.isin(a, [ord(c) for c in "stmd"])
+        two = np.zeros(len(at), bool)
+        for x, y in ("re", "ve", "ll"):
+            two |= (a == ord(x)) & (b == ord(y))
+        cut[at[one | two] + 1] = False
+        cut[at[one] + 2] = True
+        cut[at[two] + 3] = True
+    starts = np.append(np.flatnonzero(cut[:n]), n)
+    if text.isascii():
+        return starts, starts.astype(np.int32)
+    sizes = np.ones(n + 1, np.int32)
+    for limit in (0x7F, 0x7FF, 0xFFFF):
+        sizes[1:] += codes[:n] > limit
+    sizes[0] = 0
+    return starts, np.cumsum(sizes, dtype=np.int32)[starts]
+
+
 class Vocabulary(dict):
-    """Piece -> token ids as the bytes of 32-bit numbers, filled on demand; ``strings[i]`` is token ``i`` as bytes."""
+    """Piece as bytes -> token ids as the bytes of 32-bit numbers, filled on demand; ``strings[i]`` is token ``i``."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -55,21 +116,44 @@ class Vocabulary(dict):
         strings: list[bytes] = [b""] * size
         for token, i in ids.items():
             strings[i] = bytes(byte[c] for c in token)
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         for token, i in self.special.items():
-            strings[i] = token.encode()
+            strings[i] = token
         self.strings = pa.array(strings, pa.binary())
-        self.pieces = regex.compile(PIECES)
-        self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        marks = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self.marks = regex.compile("|".join(map(regex.escape, marks))) if marks else None
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = array("i", self.merge(piece.encode("utf-8", "surrogatepass"))).tobytes()
-        if len(piece) <= CACHED_CHARS:
+    def __missing__(self, piece: bytes) -> bytes:
+        # A piece that is a special token's string is always a mark: no other piece can hold it whole.
+        ids = array("i", [self.special[piece]] if piece in self.special else self.merge(piece)).tobytes()
+        if len(piece) <= CACHED_BYTES:
             self[piece] = ids
         return ids
 
     def merge(self, data: bytes) -> list[int]:
-        """Merge the lowest rank first, leftmost among equals.
+        """Merge the lowest rank first, leftmost among equals."""
+        return self.scanned(data) if len(data) <= SCANNED_BYTES else self.queued(data)
+
+    def scanned(self, data: bytes) -> list[int]:
+        """``merge`` of few bytes: the lowest of all pairs' ranks, one after the other."""
+        rank_of, made, size, byte_ranks = self.ranks.get, self.made, self.size, self.byte_ranks
+        ids = [self.unit[b] for b in data]
+        due = [byte_ranks[a][b] or NEVER for a, b in zip(data, data[1:])]
+        while due:
+            low = min(due)
+            if low == NEVER:
+                break
+            i = due.index(low)
+            ids[i] = merged = made[low >> POSITION_BITS]
+            del ids[i + 1], due[i]
+            if i < len(due):
+                due[i] = rank_of(merged * size + ids[i + 1], NEVER)
+            if i:
+                due[i - 1] = rank_of(ids[i - 1] * size + merged, NEVER)
+        return ids
+
+    def queued(self, data: bytes) -> list[int]:
+        """``merge`` of any number of bytes.
 
         Symbols form a doubly linked list; the queue holds (rank, position) as one number. ``due`` is the rank of
         the pair that starts at each position now: an entry that differs from it is stale and skipped, so nothing is
@@ -104,22 +188,28 @@ class Vocabulary(dict):
                     heappush(queue, rank | h)
         return [x for x in ids if x >= 0]
 
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and how many each has.
+
+        All texts are cut together and equal pieces are brought together by Arrow, so that each is looked up once.
+        """
         if len(self) > CACHED_PIECES:
             self.clear()
-        if self.marks is None or not self.marks.search(text):
-            return self.plain(text)
+        text = "\0".join(texts)
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        gaps = ends[:-1]
         # Strings of special tokens are cut out first; what lies between is cut into pieces on its own.
-        parts, at = [], 0
-        for m in self.marks.finditer(text):
-            parts += [self.plain(text[at : m.start()]), np.array([self.special[m[0]]], np.int32)]
-            at = m.end()
-        return np.concatenate([*parts, self.plain(text[at:])])
-
-    def plain(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, self.pieces.findall(text))), np.int32)
+        marks = [m.span() for m in self.marks.finditer(text)] if self.marks else []
+        starts, offsets = cuts(text, [*zip(gaps.tolist(), (gaps + 1).tolist()), *marks])
+        raw = pa.py_buffer(text.encode("utf-8", "surrogatepass"))
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(offsets), raw]).dictionary_encode()
+        ids = [self[p] for p in pieces.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), np.frombuffer(b"".join(ids), np.int32))
+        own = np.isin(starts[:-1], gaps, invert=True)
+        which = pieces.indices.to_numpy()[own]
+        upto = np.append(0, np.cumsum(sizes[which]))[np.searchsorted(starts[:-1][own], ends)]
+        return lists.take(pa.array(which)).flatten().to_numpy(), np.diff(upto, prepend=0)
 
 
 @lru_cache(maxsize=2)
@@ -127,6 +217,20 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def steps(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in runs of at most ``STEP_CHARS`` characters, or of one text."""
+    some, chars = [], 0
+    for t in texts:
+        t = t.as_py() or ""
+        if some and chars + len(t) > STEP_CHARS:
+            yield some
+            some, chars = [], 0
+        some.append(t)
+        chars += len(t)
+    if some:
+        yield some
+
+
 def encode(text: Column, path: str) -> Column:
     """Token ids of a text column, array<int>; a null or empty text has none.
 
@@ -137,9 +241,9 @@ def encode(text: Column, path: str) -> Column:
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         v = vocabulary(path)
-        rows = [v.encode(t.as_py()) for t in texts]
-        offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-        flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
+        parts = [v.encode(some) for some in steps(texts)]
+        offsets = np.cumsum([0, *chain(*(sizes for _, sizes in parts))], dtype=np.int32)
+        flat = np.concatenate([np.empty(0, np.int32), *(ids for ids, _ in parts)])
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
     return ids(text)

@@ -1,7 +1,10 @@
 import hashlib
+import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from barline.llm import bpe
@@ -34,3 +37,41 @@ def test_whole_table(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for r in bpe.round_trip(docs, PATH).join(docs, "doc_id").collect():
         assert r.ids == t.encode(r.text, add_special_tokens=False).ids and r.decoded == r.text
+
+
+def test_cuts_are_those_of_the_pattern():
+    rng, pattern = random.Random(7), regex.compile(bpe.PIECES)
+    letters = ["'", "'", " ", " ", "\n", "\t", "\xa0", "\u3000", "\x1c", "\x85", *"strevmldSTaé日", "1", "²", "٣", "Ⅷ", "-", "&", "🙂", "\u0301", "\u200b", "\udc80", "\x00"]
+    texts = ["", "'", "'s", "'l", "''s", " 's", "x'll 'llo'd've're'm't", "  ", "a  ", "\n 's", "".join(map(chr, range(0x110000)))]
+    texts += ["".join(rng.choices(letters, k=rng.randrange(1, 30))) for _ in range(20_000)]
+    for text in texts:
+        starts, at = bpe.cuts(text)
+        want = pattern.findall(text)
+        assert [text[i:j] for i, j in zip(starts, starts[1:])] == want, text[:40]
+        raw = text.encode("utf-8", "surrogatepass")
+        assert [raw[i:j].decode("utf-8", "surrogatepass") for i, j in zip(at, at[1:])] == want, text[:40]
+
+
+def test_few_and_many_bytes_merge_alike():
+    rng, v, t = random.Random(8), bpe.vocabulary(PATH), Tokenizer.from_file(PATH)
+    for _ in range(3000):
+        data = "".join(rng.choices("aaaetthinorsäß日🙂", k=rng.randrange(0, 45)))
+        want = t.encode(data, add_special_tokens=False).ids
+        ids = v.scanned(data.encode()), v.queued(data.encode())
+        assert ids[0] == ids[1]
+        assert v.encode([data])[0].tolist() == want
+
+
+@pytest.mark.parametrize("chars", [1, 40, 1 << 22])
+def test_texts_cut_together_do_not_touch(monkeypatch, chars):
+    monkeypatch.setattr(bpe, "STEP_CHARS", chars)
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 200)
+    rng, v, t = random.Random(9), bpe.Vocabulary(PATH), Tokenizer.from_file(PATH)
+    parts = ["<|endoftext|>", "<|endoftext|>", " ", "  ", "\n", "'", "'s", "s", "'l", "l", "don", "\x00", "Übung", "🙂", "1", "<|", ""]
+    texts = [None, "", ""] + ["".join(rng.choices(parts, k=rng.randrange(0, 9))) for _ in range(3000)] + ["x" * 300, ""]
+    got = [v.encode(some) for some in bpe.steps(pa.array(texts, pa.string()))]
+    flat = [i for ids, _ in got for i in ids.tolist()]
+    sizes = [n for _, counts in got for n in counts.tolist()]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert sizes == [len(w) for w in want] and flat == [i for w in want for i in w]
+    assert max(len(counts) for _, counts in got) > 1 or chars == 1
