@@ -36,24 +36,36 @@ def word_list(text: Column) -> Column:
 
 
 def with_words(docs: DataFrame) -> DataFrame:
-    """Adds ``_t``, the text without null, ``_w``, its words, and ``_h``, their hashes in order."""
+    """Adds ``_t``, the text without null, ``_w``, its words, and in order ``_h``, their hashes, and ``_p``, those of pairs."""
     docs = docs.withColumn("_t", F.coalesce("text", F.lit("")))
     docs = docs.withColumn("_w", word_list(F.col("_t")))
-    return docs.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
+    return docs.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("_p", pairs("_h"))
 
 
-def buckets(h: str) -> Column:
-    """The buckets of the words, then of each word with the next; the last word is paired with the end."""
-    word = lambda x: F.pmod(x, F.lit(BUCKETS))
-    pair = lambda x, i: F.pmod(F.xxhash64(F.lit(2), x, F.get(h, i + 1)), F.lit(BUCKETS)) + BUCKETS
-    return F.concat(F.transform(h, word), F.transform(h, pair))
+def pairs(h: str) -> Column:
+    """Hashes of each word with the next; the last word is paired with the end, a null, which a hash passes over."""
+    return F.zip_with(h, F.slice(h, F.lit(2), F.size(h)), lambda x, y: F.xxhash64(F.lit(2), x, y))
 
 
-def repeated_words(h: str, n: str) -> Column:
-    """Words in windows of five words that the text holds twice or more."""
-    k = REPEAT_WORDS
-    starts = F.slice(h, F.lit(1), F.greatest(F.col(n) - (k - 1), F.lit(0)).cast("int"))
-    return F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)]))
+def bucket(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(BUCKETS - 1).cast("long"))
+
+
+def buckets(h: str, p: str) -> Column:
+    """The buckets of the words, then of the pairs."""
+    return F.concat(F.transform(h, bucket), F.transform(p, lambda x: bucket(x) + F.lit(BUCKETS).cast("long")))
+
+
+def repeated_words(p: str, n: str) -> Column:
+    """A hash for each window of five words, from its pairs: of two pairs for four words, of two such for five."""
+    size = F.greatest(F.col(n) - (REPEAT_WORDS - 2), F.lit(0)).cast("int")
+    fours = F.zip_with(F.slice(p, F.lit(1), size), F.slice(p, F.lit(3), size), lambda x, y: F.xxhash64(x, y))
+    less = F.greatest(size - 1, F.lit(0))
+
+    def fives(f: Column) -> Column:
+        return F.zip_with(F.slice(f, F.lit(1), less), F.slice(f, F.lit(2), less), lambda x, y: F.xxhash64(x, y))
+
+    return F.get(F.transform(F.array(fours), fives), F.lit(0))
 
 
 def covered_words(grams: str) -> Column:
@@ -82,7 +94,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
         }
     ).drop("_w")
     docs = docs.withColumn("_n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
-    docs = docs.withColumn("_grams", repeated_words("_h", "_n"))
+    docs = docs.withColumn("_grams", repeated_words("_p", "_n"))
     twice = F.size(F.array_distinct("_grams")) < F.size("_grams")
     docs = docs.withColumn("_n_repeat_words", F.when(twice, covered_words("_grams")).otherwise(F.lit(0).cast("long"))).drop("_grams")
     failed = (F.col("_n") < LEAST_WORDS) | (100 * F.col("_n_repeat_words") > MOST_REPEATED * F.col("_n"))
@@ -104,7 +116,11 @@ def ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     trusted = trusted_ids(labels).withColumn("_trusted", F.lit(1).cast("long"))
     marked = docs.select("doc_id", "text").join(trusted, "doc_id", "left")
-    grams = with_words(marked).select(F.coalesce("_trusted", F.lit(0).cast("long")).alias("_in"), F.explode(buckets("_h")).alias("bucket"))
+    # Hashes become buckets only as rows, where the code is compiled: a lambda is interpreted for each word.
+    hashes = with_words(marked).select(
+        F.coalesce("_trusted", F.lit(0).cast("long")).alias("_in"), F.size("_h").alias("_n"), F.posexplode(F.concat("_h", "_p")).alias("_i", "_x"))
+    shift = F.when(F.col("_i") < F.col("_n"), 0).otherwise(BUCKETS).cast("long")
+    grams = hashes.select("_in", (bucket(F.col("_x")) + shift).alias("bucket"))
     counts = stored(grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("_in").alias("own")), "quality-buckets")
     own, raw = counts.agg(F.coalesce(F.sum("own"), F.lit(0)), F.coalesce(F.sum("raw"), F.lit(0))).first()
     share = own / raw if own else 1.0
@@ -128,7 +144,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ``docs`` is replaced.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "_quality"])
-    rows = base_counts(with_words(docs.select(row.alias("_doc"), "text"))).withColumn("_b", buckets("_h"))
+    rows = base_counts(with_words(docs.select(row.alias("_doc"), "text"))).withColumn("_b", buckets("_h", "_p"))
     # Buckets and table are used once, so that both become part of the score: as columns they would be copied for each row.
     rows = rows.withColumn("_llr", ratios(docs, labels).scalar())
     total = F.aggregate("_b", F.lit(0).cast("long"), lambda acc, b: acc + F.get("_llr", b.cast("int")))

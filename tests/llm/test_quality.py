@@ -112,3 +112,12 @@ def test_labelled_junk_goes_and_clean_text_stays(spark, folder, times):
     got = quality.judged(many, labels).filter("not _quality.base_failed").join(labels, "doc_id")
     rates = {r.quality: r.kept for r in got.groupBy("quality").agg(F.avg(F.col("_quality.kept").cast("int")).alias("kept")).collect()}
     assert rates[1] == 1 and rates[0] < (0.02 if folder == "sf0.1" else 0.08)
+
+
+def test_a_word_costs_few_lambda_steps(spark):
+    """Lambdas are interpreted: neither looks neighbours up by index nor takes a remainder for each word."""
+    df = spark.createDataFrame([(1, "a b c d e a b c d e", "")], "doc_id long, text string, x string")
+    rows = quality.base_counts(quality.with_words(df)).withColumn("_b", quality.buckets("_h", "_p"))
+    plan = rows.select("_b", "_n_repeat_words")._jdf.queryExecution().analyzed().toString()
+    assert "pmod" not in plan and "zip_with" in plan.lower().replace("zipwith", "zip_with")
+    assert rows.first()._n_repeat_words == 10
