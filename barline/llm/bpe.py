@@ -12,7 +12,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: The pattern that cuts a text into pieces before any merge.
 PIECES = (
@@ -25,10 +25,10 @@ WHITE, APART = 3, 4
 #: Pieces up to so many bytes find their lowest rank by a look at all; longer ones keep a queue.
 SCANNED_BYTES = 32
 NEVER = 1 << 62
-#: Pieces up to this many bytes are remembered, and so many of them.
-CACHED_BYTES, CACHED_PIECES = 96, 500_000
+#: Pieces up to this many bytes are remembered, and so many of them: a worker keeps them between tasks, beside other workers.
+CACHED_BYTES, CACHED_PIECES = 96, 400_000
 #: Characters that are cut at a time; a longer text is cut by itself.
-STEP_CHARS = 1 << 22
+STEP_CHARS = 1 << 20
 #: A queue entry is rank and position in one number; no piece reaches 2^40 bytes.
 POSITION_BITS = 40
 LAST_POSITION = (1 << POSITION_BITS) - 1
@@ -231,6 +231,10 @@ def steps(texts: pa.Array) -> Iterator[list[str]]:
         yield some
 
 
+def id_lists(flat: np.ndarray, sizes: list[int] | np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes], dtype=np.int32)), pa.array(flat))
+
+
 def encode(text: Column, path: str) -> Column:
     """Token ids of a text column, array<int>; a null or empty text has none.
 
@@ -242,13 +246,26 @@ def encode(text: Column, path: str) -> Column:
     def ids(texts: pa.Array) -> pa.Array:
         v = vocabulary(path)
         parts = [v.encode(some) for some in steps(texts)]
-        offsets = np.cumsum([0, *chain(*(sizes for _, sizes in parts))], dtype=np.int32)
-        flat = np.concatenate([np.empty(0, np.int32), *(ids for ids, _ in parts)])
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+        return id_lists(np.concatenate([np.empty(0, np.int32), *(ids for ids, _ in parts)]), [*chain(*(sizes for _, sizes in parts))])
 
     return ids(text)
 
 
+def texts_of(lists: pa.ListArray, v: Vocabulary) -> pa.Array:
+    out = []
+    for row in range(len(lists)):
+        values = lists[row].values
+        if values is None or not len(values):
+            out.append("")
+            continue
+        joined = v.strings.take(values)
+        start, end = joined.offset, joined.offset + len(joined)
+        offsets = np.frombuffer(joined.buffers()[1], np.int32)
+        raw = joined.buffers()[2].to_pybytes()[offsets[start] : offsets[end]]
+        out.append(raw.decode("utf-8", "replace"))
+    return pa.array(out, pa.string())
+
+
 def decode(ids: Column, path: str) -> Column:
     """The text of a column of token ids: vocabulary strings joined, bytes that are no UTF-8 replaced.
 
@@ -257,27 +274,25 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def text(lists: pa.Array) -> pa.Array:
-        v = vocabulary(path)
-        out = []
-        for row in range(len(lists)):
-            values = lists[row].values
-            if values is None or not len(values):
-                out.append("")
-                continue
-            joined = v.strings.take(values)
-            start, end = joined.offset, joined.offset + len(joined)
-            offsets = np.frombuffer(joined.buffers()[1], np.int32)
-            raw = joined.buffers()[2].to_pybytes()[offsets[start] : offsets[end]]
-            out.append(raw.decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
+        return texts_of(lists, vocabulary(path))
 
     return text(ids)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, decoded) of every document."""
-    coded = docs.select("doc_id", encode(F.col("text"), path).alias("ids"))
-    return coded.select("doc_id", "ids", decode(F.col("ids"), path).alias("decoded"))
+    """(doc_id, ids, decoded) of every document, each step of texts encoded, decoded and given out before the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        for batch in batches:
+            at = 0
+            for some in steps(batch.column(1)):
+                ids = id_lists(*v.encode(some))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), ids, texts_of(ids, v)], ["doc_id", "ids", "decoded"])
+                at += len(some)
+
+    kind = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    return docs.select("doc_id", "text").mapInArrow(run, kind)
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -8,15 +8,16 @@ drawn from the multivariate hypergeometric distribution, one source after the ot
 the sources' quotas exactly, each shard draws its own stretch of every source's permuted blocks, and rows are
 shuffled within their shard by another key.
 
-Tables of sources, of blocks (one for some thousand documents) and of tree nodes are small; the documents are
-exchanged once, by (source, block), so a hot source is many blocks.
+Tables of sources, of blocks (one for some thousand documents) and of tree nodes are small. Sources and blocks are
+written once, so that the planner sees their size and sends them to the documents, which stay where they are: only
+those of the blocks in which a quota ends, one for a source at most, are brought together to be put in order.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barline.llm.common import WORD
+from barline.llm.common import WORD, stored
 
 #: Documents of a block, about; most copies of a document; weights of the sources in order, repeated.
 BLOCK_DOCS, MOST, WEIGHTS = 4096, 3, (1, 2, 3)
@@ -126,14 +127,10 @@ def mixed(docs: DataFrame, shards: int = 8, seed: int = 0, keep: list[str] | Non
     interchangeable. No documents: no rows.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != "_mix"]  # a column of that name is replaced
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_doc"),
-        "doc_id",
-        "source",
-        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("_size"),
-        random_key(F.col("doc_id")).alias("_key"),
-    )
-    sources = targets(rows.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("_size").alias("source_size")))
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    key = random_key(F.col("doc_id"))
+    sizes = stored(docs.select("source", size.alias("_size"), key.alias("_key")), "mix-sizes")
+    sources = targets(sizes.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("_size").alias("source_size")))
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("docs") / BLOCK_DOCS))).cast("int")
     sources = sources.withColumns(
         {
@@ -141,29 +138,40 @@ def mixed(docs: DataFrame, shards: int = 8, seed: int = 0, keep: list[str] | Non
             "passes": F.when(F.col("source_size") > 0, F.floor(F.col("quota") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"),
         }
     ).withColumn("part", F.col("quota") - F.col("passes") * F.col("source_size"))
-    sources = sources.withColumnRenamed("source", "_source")
+    sources = stored(sources.withColumnRenamed("source", "_source"), "mix-sources")
     same = F.col("source").eqNullSafe(F.col("_source"))
-    rows = rows.join(sources, same).drop("_source").withColumn("_block", F.expr(f"shiftright(_key, {KEY_BITS} - bits)"))
+
+    def in_blocks(some: DataFrame) -> DataFrame:
+        return some.join(sources, same).drop("_source").withColumn("_block", F.expr(f"shiftright(_key, {KEY_BITS} - bits)"))
+
     # Blocks of each source: words before each, and how many the quota draws.
-    sums = rows.groupBy("source", "_block").agg(F.sum("_size").alias("words"), F.first("passes").alias("passes"), F.first("part").alias("part"))
+    sums = in_blocks(sizes).groupBy("source", "_block").agg(F.sum("_size").alias("words"), F.first("passes").alias("passes"), F.first("part").alias("part"))
     run = Window.partitionBy("source").orderBy("_block")
     sums = sums.withColumns(
         {"before": F.sum("words").over(run) - F.col("words"), "place": (F.row_number().over(run) - 1).cast("long"), "blocks": F.count(F.lit(1)).over(Window.partitionBy("source"))}
     )
     drawn = sums.groupBy("source").agg(F.sum(F.col("passes") + (F.col("before") < F.col("part")).cast("long")).alias("draws"))
     bounds = shard_quotas(drawn, shards, seed).withColumnRenamed("source", "_source")
-    sums = sums.join(bounds, same).select(F.col("source").alias("_s"), F.col("_block").alias("_b"), "before", "place", "blocks", "bounds")
+    sums = sums.join(bounds, same).select(F.col("source").alias("_s"), F.col("_block").alias("_b"), "words", "before", "place", "blocks", "bounds")
+    sums = stored(sums, "mix-blocks")
+    rows = in_blocks(docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_doc"), "doc_id", "source", "text", key.alias("_key")))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b"))).drop("_s", "_b")
+    # The last pass takes a block whole or not at all, but for the one in which the quota ends.
+    ends = (F.col("before") < F.col("part")) & (F.col("part") < F.col("before") + F.col("words"))
+    whole = rows.filter(~ends).withColumn("_size", size).drop("text")
+    whole = whole.withColumn("_extra", F.when(F.col("before") < F.col("part"), F.col("_size")).otherwise(F.lit(0).cast("long")))
     inside = Window.partitionBy("source", "_block").orderBy("_key", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.col("before") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    extra = F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), F.col("part") - F.col("_before")))
+    taken = F.col("before") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
+    last = rows.filter(ends).withColumn("_size", size).drop("text").withColumn("_before", taken)
+    last = last.withColumn("_extra", F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), F.col("part") - F.col("_before"))))
+    rows = whole.unionByName(last.drop("_before"))
 
     def copy(epoch: Column) -> Column:
         place = epoch * F.col("blocks") + F.col("place")
         return F.struct(
             F.size(F.filter("bounds", lambda b: b <= place)).alias("shard"),
             random_key(F.lit(seed), F.lit("order"), F.col("doc_id"), epoch).alias("order"),
-            F.when(epoch < F.col("passes"), F.col("_size")).otherwise(extra).alias("words"),
+            F.when(epoch < F.col("passes"), F.col("_size")).otherwise(F.col("_extra")).alias("words"),
         )
 
     draws = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes")), copy), lambda d: d["words"] > 0)

@@ -75,3 +75,12 @@ def test_texts_cut_together_do_not_touch(monkeypatch, chars):
     want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
     assert sizes == [len(w) for w in want] and flat == [i for w in want for i in w]
     assert max(len(counts) for _, counts in got) > 1 or chars == 1
+
+
+def test_remembered_pieces_are_few():
+    """What a worker remembers stays small however many different words it meets."""
+    v = bpe.Vocabulary(PATH)
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(5)) for i in range(600_000)]
+    texts = pa.array([" ".join(words[k : k + 100_000]) for k in range(0, 600_000, 100_000)])
+    sizes = [n for some in bpe.steps(texts) for n in v.encode(some)[1]]
+    assert len(sizes) == 6 and all(sizes) and len(v) <= 400_000

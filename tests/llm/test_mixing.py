@@ -50,6 +50,22 @@ def test_written_copies(spark):
     assert got == want and out.columns[:5] == docs.columns
 
 
+def test_documents_stay_where_they_are(spark):
+    """Only the documents of the blocks in which a quota ends are exchanged."""
+    docs = rows(spark, 6, 300)
+    plan = mixing.mixed(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
+def test_repeated_rows_share_the_quota(spark, monkeypatch):
+    """Equal rows are taken one by one where a quota ends among them."""
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 16)
+    docs = spark.createDataFrame([(i % 3, "w " * 7, s) for i in range(90) for s in ("a", "b", None)], "doc_id long, text string, source string")
+    mix = mixing.mixed(docs).collect()
+    got = {s: sum(d.words for r in mix if r.source == s for d in r._mix.draws) for s in ("a", "b", None)}
+    assert len(mix) == 270 and got == {"a": 315, "b": 630, None: 945}
+
+
 def test_hypergeometric(spark):
     df = spark.range(4000).select(((F.col("id") * 1597 % 4000 + 0.5) / 4000).alias("u"))
     df = df.select(mixing.hypergeometric(F.lit(60), F.lit(25), F.lit(20), F.col("u")).alias("x"))
